@@ -36,7 +36,8 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
-    return builder.config("spark.ui.enabled", "false").getOrCreate()
+    builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    return builder.getOrCreate()
 
 
 def durable_folder(spark: SparkSession) -> str:
