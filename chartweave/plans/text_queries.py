@@ -542,7 +542,7 @@ def negated_mentions(t: Tables) -> DataFrame:
     "negation_scope",
     _NEG_SQL
     + """SELECT doc_id, coalesce(kind, 'none') AS negation_type, coalesce(cue, '') AS negation_cue, count(*) AS n,
-  round(sum(CASE WHEN kind IS NULL THEN 0.0 ELSE round(greatest(0.5, 1.0 - n * 0.08) * CASE kind WHEN 'pre' THEN 1.0 ELSE 0.92 END, 3) END), 2) AS confidence
+  CAST(round(sum(CASE WHEN kind IS NULL THEN 0.0 ELSE round(greatest(0.5, 1.0 - n * 0.08) * CASE kind WHEN 'pre' THEN 1.0 ELSE 0.92 END, 3) END), 2) AS DOUBLE) AS confidence
   FROM f GROUP BY ALL""",
 )
 def negation_scope(t: Tables) -> DataFrame:

@@ -36,6 +36,16 @@ def lookup_join(
     return left.join(right, on, how)
 
 
+def pin(costly: Column) -> Column:
+    """Keep a costly expression where it is written.
+
+    A later filter on its result would otherwise be pushed below selective joins
+    and be evaluated on rows those joins drop. The guard is always true; being
+    non-deterministic, it stops the optimizer from moving or repeating it.
+    """
+    return F.when(F.spark_partition_id() >= 0, costly)
+
+
 def bounded_rows(df: DataFrame, limit: int = RULE_ROWS) -> list[Row]:
     """Rows of a rule table, refused when there are more than ``limit``."""
     rows = df.limit(limit + 1).collect()
