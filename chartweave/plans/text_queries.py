@@ -390,7 +390,7 @@ def bigrams(t: Tables) -> DataFrame:
     return b.where(F.size("ps") >= 3).select(F.explode(grams).alias("term")).where(F.length("term") >= 6).distinct()
 
 
-_BIGRAM_SQL = f"""
+BIGRAM_SQL = f"""
 bp AS (SELECT regexp_extract_all(lower(text), '{SQL_PIECES}') AS ps FROM benchmark),
 lex AS (SELECT DISTINCT term FROM (SELECT unnest(list_transform(list_filter(range(1, len(ps) - 1), lambda i: ps[i + 1] = ' '),
    lambda i: ps[i] || ps[i + 1] || ps[i + 2])) AS term FROM bp) WHERE length(term) >= 6),
@@ -402,7 +402,7 @@ hits AS (SELECT doc_id, i, ps[i] || ps[i + 1] || ps[i + 2] AS term FROM dg WHERE
 
 @query(
     "dictionary_tags",
-    f"WITH {_BIGRAM_SQL} SELECT doc_id, count(*) AS n_hits, count(DISTINCT term) AS n_terms, min(term) AS first_term FROM hits GROUP BY doc_id",
+    f"WITH {BIGRAM_SQL} SELECT doc_id, count(*) AS n_hits, count(DISTINCT term) AS n_terms, min(term) AS first_term FROM hits GROUP BY doc_id",
 )
 def dictionary_tags(t: Tables) -> DataFrame:
     """E8."""

@@ -36,6 +36,19 @@ def lookup_join(
     return left.join(right, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-local work enough tasks.
+
+    A table read in fewer partitions than there are cores (one small file, say) is
+    repartitioned; a table that already fills the cluster is returned as it is, so
+    large inputs are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def pin(costly: Column) -> Column:
     """Keep a costly expression where it is written.
 
