@@ -139,7 +139,7 @@ def concept_similarity(t: Tables) -> DataFrame:
     return sims.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-_RANK_SQL = f"""
+RANK_SQL = f"""
 WITH RECURSIVE {_EDGES_SQL}, {_PROFILES_SQL},
 pt AS (SELECT DISTINCT note_id, concept_id FROM ol),
 np AS (SELECT note_id, count(*) AS np FROM pt GROUP BY note_id),
@@ -167,7 +167,7 @@ def ranked_orders(t: Tables, k: int = 10) -> DataFrame:
 
 @query(
     "disease_ranking",
-    _RANK_SQL + "SELECT note_id, disease_id, CAST(score AS DOUBLE) AS score, matched_count, CAST(round(CAST(matched_count AS DOUBLE) / nd, 4) AS DOUBLE) AS coverage, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10",
+    RANK_SQL + "SELECT note_id, disease_id, CAST(score AS DOUBLE) AS score, matched_count, CAST(round(CAST(matched_count AS DOUBLE) / nd, 4) AS DOUBLE) AS coverage, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank <= 10",
 )
 def disease_ranking(t: Tables) -> DataFrame:
     """G5 + G6: every order ranked against every nation."""
