@@ -136,8 +136,14 @@ def marked(phrase: str, open_end: bool = False) -> str:
     return "".join(out)
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    """ARRAY<STRING> constant, built as one SQL expression."""
+    return F.expr("array(" + ", ".join(sql_text(v) for v in values) + ")").cast("array<string>")
 
 
 def contained_terms(text: Column, terms: Iterable[str]) -> Column:

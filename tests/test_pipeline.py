@@ -18,6 +18,7 @@ def test_run_end_to_end(spark):
     ents = {(r.note_id, r.hpo_id): r for r in run.entities.where("matched").collect()}
     assert ents["n1", "HP:2"].negated and ents["n1", "HP:1"].negated
     assert not ents["n1", "HP:3"].negated
+    assert not ents["n2", "HP:2"].negated and ents["n2", "HP:1"].negation_cue == "pas de"
     assert ("n1", "HP:5") in ents and ("n1", "HP:4") in ents
     assert {r.note_id: r.language for r in run.notes.collect()} == {"n1": "en", "n2": "fr", "n3": "en", "n4": "fr"}
     nums = run.numeric.collect()
@@ -45,5 +46,5 @@ def test_run_end_to_end(spark):
     assert ev["topk"].first().total == 2
     assert ev["score"].first().n_reports == 4
     assert ev["compliance"].first().total == 4
-    assert ev["cues"].first()["count"] == 2
+    assert {r.negation_cue: r["count"] for r in ev["cues"].collect()} == {"no": 2, "pas de": 1}
     assert ev["cascade"].count() >= 1
