@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.plans.registry import Tables
+from chartweave.scale import spread
 
 DRUGS = {"1-URGENT": "warfarin", "2-HIGH": "metformin", "3-MEDIUM": "ibuprofen", "4-NOT SPECIFIED": "aspirin", "5-LOW": "vitamin c"}
 CONDITIONS = {"F": "hemophilia", "O": "renal failure", "P": "peptic ulcer"}
@@ -26,7 +27,7 @@ def _pick(c, table: dict[str, str]):
 def visits(t: Tables) -> DataFrame:
     """One English note per order."""
     day = F.col("o_orderdate").cast("date")
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", day.alias("day"))
+    o = spread(t.orders).select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", day.alias("day"))
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     rows = (
         o.withColumn("dob", F.date_sub("day", (cust % 9000).cast("int")))
@@ -75,7 +76,7 @@ def letters(c: Column) -> Column:
 def charts(t: Tables) -> DataFrame:
     """One French report per customer, with a file name."""
     key = F.col("c_custkey")
-    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment").withColumn("n", (key % 17 + 1).cast("int"))
+    c = spread(t.customer).select("c_custkey", "c_nationkey", "c_mktsegment").withColumn("n", (key % 17 + 1).cast("int"))
     name = F.initcap(letters(key))
     girl = key % 2 == 1
     unit = F.when(key % 3 == 0, "mois").otherwise("ans")
