@@ -149,6 +149,7 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     batch = pipe.run(spark.createDataFrame([n for n in NOTES if len(n[1].strip()) >= 50], "note_id string, text string"))
     want = {r.note_id: (r.total, r.matched) for r in batch.stats.collect()}
+    assert set(want) == {"n1", "n2", "n3"}
     assert {r.note_id: (r.total_entities, r.matched_hpo) for r in got.collect()} == want and got.count() == len(want) == 3
 
 
