@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartweave import fixed_values as V
@@ -130,8 +130,6 @@ def cascade_distribution(entities: DataFrame, by: Sequence[str] = ()) -> DataFra
         F.count_if("matched").alias("_matched"),
         F.avg(F.when(F.col("matched"), F.col("confidence"))).alias("_conf"),
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by)  # one row per match type
     total, matched = F.sum("count").over(w), F.sum("_matched").over(w)
     return counts.select(
@@ -172,15 +170,17 @@ def top_cues(entities: DataFrame, k: int = V.TOP_CUES) -> DataFrame:
 
 def detection_stats(notes: DataFrame, entities: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M8: negated mentions, temporal and inconsistency warnings, reports."""
-    warn = notes.groupBy(*by).agg(
-        F.sum(F.size("temporal")).alias("temporal"),
-        F.sum(F.size("inconsistencies")).alias("inconsistencies"),
-        F.count(F.lit(1)).alias("reports"),
+    zero = F.lit(0)
+    per_note = notes.select(
+        *by, F.size("temporal").alias("t"), F.size("inconsistencies").alias("i"), F.lit(1).alias("r"), zero.alias("n")
+    )
+    per_mention = entities.select(
+        *by, zero.alias("t"), zero.alias("i"), zero.alias("r"), F.coalesce("negated", F.lit(False)).cast("int").alias("n")
+    )
+    return per_note.unionByName(per_mention).groupBy(*by).agg(
+        F.sum("t").alias("temporal"), F.sum("i").alias("inconsistencies"), F.sum("r").alias("reports"),
+        F.sum("n").alias("negated"),
     )
-    neg = entities.groupBy(*by).agg(F.count_if("negated").alias("negated"))
-    if by:
-        return warn.join(neg, list(by), "left").withColumn("negated", F.coalesce("negated", F.lit(0)))
-    return warn.join(F.broadcast(neg))  # one row each
 
 
 def compliance(packets: DataFrame, by: Sequence[str] = ()) -> DataFrame:

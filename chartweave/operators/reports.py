@@ -88,14 +88,14 @@ def report_rows(files: DataFrame, dossier: str | None = None) -> DataFrame:
 
 def sync_new(files: DataFrame, stored: DataFrame, min_chars: int = V.SYNC_MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """``(rows to append, counts)``. New file names with enough text are synced."""
-    fresh = files.join(stored.select("filename").distinct(), "filename", "left_anti")
-    rows = report_rows(fresh.where(F.length("text") >= min_chars))
-    synced = fresh.where(F.length("text") >= min_chars).agg(F.count(F.lit(1)).alias("synced"))
-    total = files.agg(F.count(F.lit(1)).alias("total"))
-    counts = synced.join(F.broadcast(total)).select(
-        "synced", (F.col("total") - F.col("synced")).alias("skipped"), "total"
+    known = stored.select("filename", F.lit(True).alias("_known")).distinct()
+    marked = files.join(known, "filename", "left").withColumn(
+        "_new", F.col("_known").isNull() & (F.length("text") >= min_chars)
     )
-    return rows, counts
+    counts = marked.agg(
+        F.count_if("_new").alias("synced"), F.count_if(~F.col("_new")).alias("skipped"), F.count(F.lit(1)).alias("total")
+    )
+    return report_rows(marked.where("_new")), counts
 
 
 def link_reports(files: DataFrame, dossiers: DataFrame) -> DataFrame:
@@ -277,14 +277,17 @@ def notes_from_reports(reports: DataFrame) -> DataFrame:
 def kpis(dossiers: DataFrame, reports: DataFrame) -> DataFrame:
     """One row of totals."""
     present = lambda c: F.when(F.length(c) > 0, F.col(c))
-    d = dossiers.agg(
-        F.count(F.lit(1)).alias("total_dossiers"),
-        F.count_distinct(present("principal_diagnosis")).alias("unique_diagnoses"),
-        F.count_distinct(present("origin")).alias("unique_cities"),
-        F.count(present("dossier_number")).alias("with_number"),
+    d = dossiers.select(
+        present("principal_diagnosis").alias("a"), present("origin").alias("b"), present("dossier_number").alias("c"),
+        F.lit(1).alias("d"), F.lit(0).alias("r"),
+    )
+    none = F.lit(None).cast("string")
+    r = reports.select(none.alias("a"), none.alias("b"), none.alias("c"), F.lit(0).alias("d"), F.lit(1).alias("r"))
+    out = d.unionByName(r).agg(
+        F.sum("d").alias("total_dossiers"), F.count_distinct("a").alias("unique_diagnoses"),
+        F.count_distinct("b").alias("unique_cities"), F.count("c").alias("with_number"), F.sum("r").alias("total_reports"),
     )
-    r = reports.agg(F.count(F.lit(1)).alias("total_reports"))
-    return d.join(F.broadcast(r)).withColumn(
+    return out.withColumn(
         "reports_per_dossier",
         F.when(F.col("total_dossiers") > 0, F.round(F.col("total_reports") / F.col("total_dossiers"), 1)).otherwise(0.0),
     )

@@ -9,7 +9,7 @@ from chartweave.operators import ontology as G
 from chartweave.operators import ranking as R
 from chartweave.plans.registry import Tables, query
 from chartweave.plans.text_queries import BIGRAM_SQL, bigrams
-from chartweave.scale import top_k
+from chartweave.scale import lookup_join, top_k
 
 # A part's leaf concept is its brand and type; both are its parents (a diamond
 # under one root). Orders are patients with the leaves of their lines, nations are
@@ -94,12 +94,12 @@ def profiles(t: Tables) -> DataFrame:
     """Nation profiles: the twelve leaves with the largest share among the
     nation's lines relative to all lines."""
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("disease_id"))
-    counts = order_leaves(t).join(F.broadcast(s), "l_suppkey").groupBy("disease_id", "concept_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = lookup_join(order_leaves(t), s, "l_suppkey").groupBy("disease_id", "concept_id").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("concept_id").agg(F.sum("n").alias("all"))
     lift = counts.join(totals, "concept_id").withColumn("lift", F.col("n") / F.col("all"))
     top = top_k(lift, ["disease_id"], [F.col("lift").desc(), F.col("concept_id")], 12)
     names = t.nation.select(F.col("n_nationkey").cast("string").alias("disease_id"), F.col("n_name").alias("name"))
-    return top.join(F.broadcast(names), "disease_id").select("disease_id", "name", "concept_id")
+    return lookup_join(top, names, "disease_id").select("disease_id", "name", "concept_id")
 
 
 _PROFILES_SQL = f"""

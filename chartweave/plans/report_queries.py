@@ -183,8 +183,7 @@ def delete_unlink(t: Tables) -> DataFrame:
     """R10."""
     ids = t.supplier.select((F.col("s_suppkey") * 5).alias("id"))
     kept, children = R.delete_parents(dossiers(t), reports(t), ids)
-    left = kept.agg(F.count(F.lit(1)).alias("parents_left"))
-    return children.select("id", "dossier_id").join(F.broadcast(left))
+    return children.select("id", "dossier_id", F.lit(kept.count()).cast("long").alias("parents_left"))
 
 
 @query(

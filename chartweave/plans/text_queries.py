@@ -10,6 +10,7 @@ from chartweave.functions.text import PIECES, pieces
 from chartweave.operators import entities as E
 from chartweave.operators import language, merging, negation, phi, scanner, segments, tagger
 from chartweave.plans.registry import Tables, query
+from chartweave.scale import lookup_join
 
 FRENCH = ["le", "la", "les", "des", "du", "une", "dans", "pour", "que ", "eau"]
 ENGLISH = ["the", "and", "of", "with", "was", "that ", "this", "er"]
@@ -528,10 +529,11 @@ def negated_mentions(t: Tables) -> DataFrame:
     rows = [(lang, w) for lang, ws in TARGETS.items() for w in ws]
     table = t.spark.createDataFrame(rows, "language string, term string")
     lexicon = table.select("term").distinct()
-    hits = tagger.tag_terms(
+    found = tagger.tag_terms(
         sents.withColumnRenamed("lang", "language"), lexicon, "sentence", "term", ("doc_id", "language", "sentence_id", "sentence"),
         [(True, 1)],
-    ).join(F.broadcast(table), ["language", "term"], "left_semi")
+    )
+    hits = lookup_join(found, table, ["language", "term"], "left_semi")
     around = hits.withColumn("before", F.substring("sentence", F.lit(1), F.col("start"))).withColumn(
         "after", F.substring("sentence", F.col("end") + 1, F.length("sentence"))
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chartweave.functions.text import count_tokens, strip
-from chartweave.scale import top_k
+from chartweave.scale import lookup_join, top_k
+from chartweave.session import materialise
 
 ARTICLE = (
     "MedlineCitation struct<PMID:struct<_VALUE:string>,Article:struct<"
@@ -67,15 +68,11 @@ def number_cases(cases: DataFrame, order: list[str], prefix: str) -> DataFrame:
     ranged = cases.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         "_part", F.spark_partition_id()
     )
-    from pyspark.sql import Window
-
-    from chartweave.session import materialise
-
     ranged = materialise(ranged)
     w = Window.partitionBy("_part").orderBy(*order)
     per_part = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_part").count().select(
         "_part", F.coalesce(F.sum("count").over(per_part), F.lit(0)).alias("_offset")
     )
-    numbered = ranged.join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_offset") + F.row_number().over(w))
+    numbered = lookup_join(ranged, offsets, "_part").withColumn("_n", F.col("_offset") + F.row_number().over(w))
     return numbered.withColumn("note_id", F.format_string(prefix + "%03d", "_n")).drop("_part", "_offset", "_n")
