@@ -49,8 +49,8 @@ def test_articles(spark, tmp_path):
     cases = spark.createDataFrame([(d, str(i), i) for d in "xy" for i in range(5)], "disease string, pmid string, word_count int")
     top = articles.longest_per_group(cases)
     assert sorted((r.disease, r.pmid) for r in top.collect()) == [(d, p) for d in "xy" for p in "234"]
-    ids = [r.note_id for r in articles.number_cases(top, ["disease", "rank"], "GSC_EN_").orderBy("disease", "rank").collect()]
-    assert ids == [f"GSC_EN_{i:03d}" for i in range(1, 7)]
+    ids = [r.note_id for r in articles.number_cases(top, ["disease", "rank"], "CASE_").orderBy("disease", "rank").collect()]
+    assert ids == [f"CASE_{i:03d}" for i in range(1, 7)]
 
 
 def test_ontology_files(spark, tmp_path):
