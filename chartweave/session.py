@@ -40,20 +40,24 @@ def build_session(
     return builder.getOrCreate()
 
 
+#: Folders of local sessions that name none, by application id.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def durable_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, with a part for this application.
 
     Only a local session may fall back to a folder of its own; on a cluster an
     unset folder is an error, since executors could not read each other's files.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN_FOLDERS.get(app)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{folder.rstrip('/')}/chartweave/{app}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -63,6 +67,23 @@ def materialise(df: DataFrame) -> DataFrame:
     share one computation, and gives later size checks a real byte count.
     """
     spark = df.sparkSession
-    path = f"{durable_folder(spark)}/chartweave/{uuid.uuid4().hex}"
+    path = f"{durable_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialise` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.rsplit("/", 2)[-2] == df.sparkSession.sparkContext.applicationId:
+            _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every materialised table of this application; call it when its results are written."""
+    _delete(spark, durable_folder(spark))
