@@ -1 +1,10 @@
-"""Operators for preparing training data; nothing else in the library imports this package."""
+"""Operators for preparing training data; nothing else in the library imports this package.
+
+Functions that run in Python workers travel by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -53,3 +53,9 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         "_n", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(*[F.col(f"`{c}`") for c in names]))
     )
     return out.unionByName(ranked.where(F.col("_n") <= F.col("_stay")).select(*names))
+
+
+def small_batches(spark) -> None:
+    """Bound what a Python worker gets at once; texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import exact, lines
+from chartweave.llm import exact, lines, packing
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -17,6 +17,17 @@ SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+#: Where the tokenizer file lies; it is installed on every node and never copied here.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """Path of the public tokenizer that op3 and the pipeline pack with."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(name: str, table: str = "documents", sql: str | None = None):
     """Register a function of one whole table (and of the session and folder) under ``name``."""
 
@@ -32,6 +43,12 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return wrap
 
 
+@query("op3_best_fit_packing")
+def best_fit_packing(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces with their sequence and offset."""
+    return packing.pack(docs, tokenizer_path())
+
+
 @query("op4_line_dedup", sql=f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 l AS (SELECT rid, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM d),
