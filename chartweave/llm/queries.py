@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import exact, lines, packing
+from chartweave.llm import decontaminate, exact, lines, packing
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -43,6 +43,12 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return wrap
 
 
+@query("op1_decontamination")
+def decontamination(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, one row per pair."""
+    return decontaminate.contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).drop("text_key")
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
