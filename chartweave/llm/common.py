@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartweave.session import materialise
+
 #: Characters of ``[\x20\x09-\x0D]``, as a trim list and as a pattern.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -31,28 +33,23 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``verdicts`` (doc_id, text_key, kept; one row per row of ``docs``) keeps.
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that stay: ``stay`` has (doc_id, text_key, rows, stay), the rows there are and how many of them stay.
 
     Documents are matched by id and text. Only where rows repeat both and some of
-    them go, the repeats are ranked and as many stay as the verdicts keep.
+    them go, the repeats are ranked and as many stay as said.
     """
     names = docs.columns
-    keys = verdicts.groupBy("doc_id", "text_key").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_stay")
-    )
-    whole = keys.where(F.col("_rows") == F.col("_stay"))
-    part = keys.where((F.col("_stay") > 0) & (F.col("_stay") < F.col("_rows")))
-    marked = docs.withColumn("text_key", row_key()[1])
-    out = marked.join(whole, same_row(marked, whole), "left_semi").select(*names)
+    stay = materialise(stay).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "rows": "_rows", "stay": "_stay"})
+    marked = docs.withColumn("_text_key", row_key()[1])
+    same = marked["doc_id"].eqNullSafe(stay["_doc"]) & (marked["_text_key"] == stay["_key"])
+    out = marked.join(stay.where("_stay = _rows"), same, "left_semi").select(*names)
+    part = stay.where("_stay > 0 and _stay < _rows")
     if part.isEmpty():
         return out
-    stay = part.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    some = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_doc"]) & (marked["text_key"] == stay["_key"]))
-    ranked = some.withColumn(
-        "_n", F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy(*[F.col(f"`{c}`") for c in names]))
-    )
-    return out.unionByName(ranked.where(F.col("_n") <= F.col("_stay")).select(*names))
+    own = Window.partitionBy("doc_id", "_text_key").orderBy(*[F.col(f"`{c}`") for c in names])
+    ranked = marked.join(part, same).withColumn("_n", F.row_number().over(own))
+    return out.unionByName(ranked.where("_n <= _stay").select(*names))
 
 
 def small_batches(spark) -> None:

@@ -130,4 +130,6 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, hash_of=block_hash) -> Data
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` drops; all columns stay as they are."""
-    return keep_rows(docs, materialise(exact_dedup(docs, block)))
+    return keep_rows(docs, exact_dedup(docs, block).groupBy("doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("kept").cast("long")).alias("stay")
+    ))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import decontaminate, exact, lines, packing
+from chartweave.llm import decontaminate, exact, lines, packing, simhash
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -49,6 +49,12 @@ def decontamination(docs: DataFrame, spark: SparkSession, folder: str) -> DataFr
     return decontaminate.contaminated(docs, spark.read.parquet(f"{folder}/benchmark.parquet")).drop("text_key")
 
 
+@query("op2_simhash_near_dedup")
+def simhash_near_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_groups(docs).select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
