@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import decontaminate, exact, lines, packing, simhash
+from chartweave.llm import decontaminate, exact, language, lines, packing, simhash
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -76,6 +76,13 @@ def line_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_language_id")
+def language_id(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; a fifth of them is held out from learning."""
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op8_exact_dedup", sql=f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), {SQL_SPACES}, '') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
