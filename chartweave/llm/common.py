@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,3 +60,12 @@ def small_batches(spark) -> None:
     """Bound what a Python worker gets at once; texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def share(spark, thing) -> Callable[[], object]:
+    """Broadcast an object of this package; call the result once in a task to read it.
+
+    It travels by value like the functions that use it. Callers bound its size.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import row_key, small_batches
+from chartweave.llm.common import row_key, share, small_batches
 from chartweave.session import materialise
 
 #: Words of a seed, which is also the shortest tile, and the share of an item that tiles must cover.
@@ -160,10 +160,10 @@ def contaminated(
     out = None
     for part in range(parts):
         items = [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == part).select("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(BenchmarkIndex(items, seed))
+        shared = share(spark, BenchmarkIndex(items, seed))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = shared()
             known = index.vocabulary.get
             for batch in batches:
                 rows = []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import keep_rows, row_key, small_batches
+from chartweave.llm.common import keep_rows, row_key, share, small_batches
 
 #: Rows per language that are learnt from at most, and their longest text. With these the sample is bounded.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000
@@ -195,10 +195,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     like any other; other columns are ignored. Returns :data:`PREDICTED`.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shared.value)
+        predictor = Predictor(shared())
         for batch in batches:
             found = [predictor.predict(t.as_py()) for t in batch.column(2)]
             langs, scores, rejected = zip(*found, strict=True) if found else ([], [], [])

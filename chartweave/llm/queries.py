@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import decontaminate, exact, language, lines, packing, simhash
+from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -92,3 +92,64 @@ FROM d WINDOW w AS (PARTITION BY t ORDER BY length(text) DESC, doc_id)
 def exact_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """One verdict per document: the row that stays of its group of equal texts."""
     return exact.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: Rules of the URL query, and hosts whose pages are blocked where no rule fits.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+LISTED_HOSTS = [
+    f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
+]
+
+
+def _url_sql() -> str:
+    fits = [
+        f"CASE WHEN ('.' || host) LIKE '%.{host}' AND path LIKE '{path}%' THEN '{host}{path}' END" for _, host, path in URL_RULES
+    ]
+    acts = " ".join(f"WHEN rule = '{host}{path}' THEN '{action}'" for action, host, path in URL_RULES)
+    hosts = " OR ".join(f"('.' || host) LIKE '%.{h}'" for h in LISTED_HOSTS)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {SQL_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, list_filter([{", ".join(fits)}], lambda x: x IS NOT NULL) AS fit FROM p),
+b AS (SELECT page_id, host, path, list_sort(list_transform(fit, lambda x: {{'n': length(x), 'k': x}}), 'DESC')[1].k AS rule FROM r)
+SELECT *, CASE {acts} WHEN {hosts} THEN 'block' ELSE 'allow' END AS verdict FROM b
+"""
+
+
+@query("op9_url_filters", "pages", sql=_url_sql())
+def url_filters(pages: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, fitting rule and verdict."""
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return urls.judge(pages, rules, spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string"))
+
+
+def _license_sql() -> str:
+    places = [
+        "list_filter(generate_series(0, len(w) - 1), lambda i: {})".format(" AND ".join(f"w[i + {n}] = '{x}'" for n, x in enumerate(phrase.split(), 1)))
+        for phrase in licenses.PHRASES
+    ]
+    base = [f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, label in enumerate(licenses.PHRASES.values())]
+    # The templates' markup as patterns over words that each have a space on both sides.
+    patterns = {
+        "notice:apache-2.0": "(  this (  [^ ]+ ){1,3}  is )?  licensed   under   the   apache   license (  version )?  2   0 ",
+        "notice:cc-by": "(  this   work   is )?  (licensed|released|available)   under (  a )?(  the )?  cc   by (  [0-9]+ ){1,2}",
+        "notice:cc-by-nc": "(  this   work   is )?  (licensed|released|available)   under (  a )?(  the )?  cc   by   nc (  [0-9]+ ){1,2}",
+        "notice:gpl": "(  [^ ]+ ){0,2}  is (  free   software   and   is )?  licensed   under   the   gnu (  lesser )?  general   public   license   version   [23] ",
+        "notice:mit": "  (released|licensed|distributed)   under   the   mit   license ",
+    }
+    notices = [f"CASE WHEN regexp_matches(j, '{p}') THEN '{label}' END" for label, p in patterns.items()]
+    names = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {SQL_LOWER}), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+q AS (SELECT *, array_to_string(list_transform(w, lambda x: '  ' || x || ' '), '') AS j, {", ".join(f"{p} AS p{n}" for n, p in enumerate(places))} FROM t),
+l AS (SELECT *, list_concat({", ".join(f"p{n}" for n in range(1, len(places)))}, p0) AS places, [{", ".join(base)}] AS bl, [{", ".join(notices)}] AS nl FROM q)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  {names.format("bl")} AS base_labels, {names.format("list_concat(bl, nl)")} AS labels,
+  CASE WHEN len(list_filter(nl, lambda x: x IS NOT NULL)) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END AS score FROM l
+"""
+
+
+@query("op10_license_scan", sql=_license_sql())
+def license_scan(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return licenses.scan(docs)
