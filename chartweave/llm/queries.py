@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, urls
+from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, spans, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -83,6 +83,13 @@ def language_id(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query("op7_substring_dedup")
+def substring_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document when repeated sentence spans go."""
+    found = spans.dedup_spans(docs)
+    return found.select("doc_id", "n_sentences", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"), "text")
+
+
 @query("op8_exact_dedup", sql=f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), {SQL_SPACES}, '') AS t FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t)::BIGINT AS group_size,
