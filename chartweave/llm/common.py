@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable
 
@@ -69,3 +70,13 @@ def share(spark, thing) -> Callable[[], object]:
     """
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
     return lambda: pickle.loads(sent.value)
+
+
+def let_go(spark) -> None:
+    """Have finished stages' shuffle files deleted.
+
+    Spark deletes them when the driver's garbage collector meets their plans, which
+    may be long after a stage was written; steps that shuffle whole texts ask for it.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

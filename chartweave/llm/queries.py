@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, spans, urls
+from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, spans, suffixes, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -76,6 +76,13 @@ def line_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_suffix_dedup")
+def suffix_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one, and a digest of the rest."""
+    found = suffixes.dedup_substrings(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_language_id")
 def language_id(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document; a fifth of them is held out from learning."""
