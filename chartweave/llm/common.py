@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,25 +45,40 @@ def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     Documents are matched by id and text. Only where rows repeat both and some of
     them go, the repeats are ranked and as many stay as said.
     """
-    names = docs.columns
-    stay = materialise(stay).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key", "rows": "_rows", "stay": "_stay"})
-    marked = docs.withColumn("_text_key", row_key()[1])
-    same = marked["doc_id"].eqNullSafe(stay["_doc"]) & (marked["_text_key"] == stay["_key"])
-    out = marked.join(stay.where("_stay = _rows"), same, "left_semi").select(*names)
-    part = stay.where("_stay > 0 and _stay < _rows")
+    stay = materialise(stay)
+    # The row travels as one struct, so that no column of it can clash with the keys.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    out = marked.join(stay.where("stay = rows"), same_row(marked, stay), "left_semi").select("row.*")
+    part = stay.where("stay > 0 and stay < rows")
     if part.isEmpty():
         return out
-    own = Window.partitionBy("doc_id", "_text_key").orderBy(*[F.col(f"`{c}`") for c in names])
-    ranked = marked.join(part, same).withColumn("_n", F.row_number().over(own))
-    return out.unionByName(ranked.where("_n <= _stay").select(*names))
+    own = Window.partitionBy(marked["doc_id"], marked["text_key"]).orderBy("row")
+    ranked = marked.join(part, same_row(marked, part)).withColumn("n", F.row_number().over(own))
+    return out.unionByName(ranked.where("n <= stay").select("row.*"))
 
 
-def small_batches(spark) -> None:
+def small_batches(spark, rows: int = 2000) -> None:
     """Bound what a Python worker gets at once; texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def filter_texts(docs: DataFrame, test: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """Rows whose text passes, with all their columns, where they lie.
+
+    ``test`` is called once in a task and returns the test of one text.
+    """
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(t.as_py()) for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def share(spark, thing) -> Callable[[], object]:
     """Broadcast an object of this package; call the result once in a task to read it.
 

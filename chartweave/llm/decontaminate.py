@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import row_key, share, small_batches
-from chartweave.session import materialise
+from chartweave.llm.common import filter_texts, row_key, share, small_batches
 
 #: Words of a seed, which is also the shortest tile, and the share of an item that tiles must cover.
 SEED_WORDS, COVERAGE = 5, 0.8
@@ -135,6 +134,35 @@ class BenchmarkIndex:
         return covered
 
 
+    def held(self, text: str | None, coverage: float) -> list[tuple[int | None, int, int, int]]:
+        """Items whose tiles cover enough: (item_id, words, covered words, tiles).
+
+        The places that seeds cover bound an item's coverage from above, so only
+        items that can reach the threshold are tiled.
+        """
+        known = self.vocabulary.get
+        doc = np.array([known(w, 0) for w in words_of(text)], np.uint64)
+        out = []
+        for n, upper in (self.candidates(doc).items() if doc.any() else ()):
+            item = self.tokens[n]
+            if upper.sum() >= coverage * len(item):
+                tiles = greedy_tiles(item, doc, min(self.seed, len(item)))
+                covered = sum(t[2] for t in tiles)
+                if covered >= coverage * len(item):
+                    out.append((self.ids[n], len(item), covered, len(tiles)))
+        return out
+
+
+def indexes(benchmark: DataFrame, seed: int = SEED_WORDS, index_words: int = INDEX_WORDS) -> Iterator[BenchmarkIndex]:
+    """The benchmark in parts of about ``index_words`` words, so that each part's index may be broadcast."""
+    counts = benchmark.select("item_id", "text", F.floor(F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-int(total) // index_words))
+    for part in range(parts):
+        items = counts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
+        yield BenchmarkIndex([(r["item_id"], r["text"]) for r in items], seed)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED_WORDS, index_words: int = INDEX_WORDS
 ) -> DataFrame:
@@ -148,40 +176,25 @@ def contaminated(
 
     The benchmark's index is broadcast in parts of at most ``index_words`` words,
     one pass over the documents each, so its size is bounded for any benchmark. A
-    document meets the seeds where it lies: nothing is shuffled. Seeds bound an
-    item's coverage from above, so only pairs that can reach the threshold are tiled.
+    document meets the seeds where it lies: nothing is shuffled.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = benchmark.select("item_id", "text", F.floor(F.length(F.coalesce("text", F.lit(""))) / 2 + 1).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    parts = max(1, -(-int(total) // index_words))
-    dealt = counts.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.float64()]
+    names = [c.split()[0] for c in FOUND.split(", ")]
     out = None
-    for part in range(parts):
-        items = [(r["item_id"], r["text"]) for r in dealt.where(F.col("part") == part).select("item_id", "text").collect()]
-        shared = share(spark, BenchmarkIndex(items, seed))
+    for index in indexes(benchmark, seed, index_words):
+        shared = share(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared()
-            known = index.vocabulary.get
+            own = shared()
             for batch in batches:
-                rows = []
-                for n, text in enumerate(batch.column(2)):
-                    doc = np.array([known(w, 0) for w in words_of(text.as_py())], np.uint64)
-                    if not index.ids or not doc.any():
-                        continue
-                    for i, upper in index.candidates(doc).items():
-                        item = index.tokens[i]
-                        if upper.sum() < coverage * len(item):
-                            continue
-                        tiles = greedy_tiles(item, doc, min(seed, len(item)))
-                        covered = sum(t[2] for t in tiles)
-                        if covered >= coverage * len(item):
-                            rows.append((batch.column(0)[n].as_py(), batch.column(1)[n].as_py(), index.ids[i], len(item), covered, len(tiles), covered / len(item)))
+                rows = [
+                    (doc_id, key, *found, found[2] / found[1])
+                    for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+                    for found in own.held(text.as_py(), coverage)
+                ]
                 columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.float64()]
-                names = [c.split()[0] for c in FOUND.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         found = docs.select(*row_key(), "text").mapInArrow(run, FOUND)
@@ -189,11 +202,16 @@ def contaminated(
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED_WORDS) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED_WORDS, index_words: int = INDEX_WORDS
+) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay as they are."""
-    found = materialise(contaminated(docs, benchmark, coverage, seed)).select("doc_id", "text_key").distinct()
-    bad = found.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    marked = docs.withColumn("_text_key", row_key()[1])
-    return marked.join(
-        bad, marked["doc_id"].eqNullSafe(bad["_doc"]) & (marked["_text_key"] == bad["_key"]), "left_anti"
-    ).select(*docs.columns)
+    for index in indexes(benchmark, seed, index_words):
+        shared = share(docs.sparkSession, index)
+
+        def test(shared=shared) -> Callable[[str | None], bool]:
+            own = shared()
+            return lambda text: not own.held(text, coverage)
+
+        docs = filter_texts(docs, test)
+    return docs

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import keep_rows, row_key, share, small_batches
+from chartweave.llm.common import filter_texts, row_key, share, small_batches
 
 #: Rows per language that are learnt from at most, and their longest text. With these the sample is bounded.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000
@@ -212,7 +212,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the texts whose language the model rejects; all columns stay as they are."""
-    verdicts = predict(docs, model).groupBy("doc_id", "text_key").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum((~F.col("rejected")).cast("long")).alias("stay")
-    )
-    return keep_rows(docs, verdicts)
+    shared = share(docs.sparkSession, model)
+
+    def test() -> Callable[[str | None], bool]:
+        predictor = Predictor(shared())
+        return lambda text: not predictor.predict(text)[2]
+
+    return filter_texts(docs, test)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from chartweave.llm.common import small_batches
 from chartweave.session import materialise
 
+#: The tokenizer of the query and of the pipeline.
+TOKENIZER = "word_bpe_49k.json"
 #: Tokens of a sequence, and the id that ends every document.
 CAPACITY, END_ID = 4096, 1
 #: Rounds of the multiplicative-weights solver and the step of its prices.
@@ -108,6 +110,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a public tokenizer's file lies; it is installed on every node and never copied here."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Group = tuple[int, tuple[int, ...]]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, spans, suffixes, urls
 from chartweave.session import configure
 
@@ -17,17 +18,6 @@ SQL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
-#: Where the tokenizer file lies; it is installed on every node and never copied here.
-TOKENIZER = "word_bpe_49k.json"
-
-
-def tokenizer_path() -> str:
-    """Path of the public tokenizer that op3 and the pipeline pack with."""
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
 def query(name: str, table: str = "documents", sql: str | None = None):
     """Register a function of one whole table (and of the session and folder) under ``name``."""
 
@@ -58,7 +48,7 @@ def simhash_near_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> Dat
 @query("op3_best_fit_packing")
 def best_fit_packing(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, packing.tokenizer_path())
 
 
 @query("op4_line_dedup", sql=f"""
@@ -167,3 +157,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_mi
 def license_scan(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and notices of every document."""
     return licenses.scan(docs)
+
+
+LLM_QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

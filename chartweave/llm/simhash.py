@@ -131,7 +131,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pivot
     into tiles that each hold two of its parts, so every pair still meets in a task
     of bounded size.
     """
-    small_batches(distinct.sparkSession)
+    small_batches(distinct.sparkSession, 20_000)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks(blocks, radius))])
     dealt = distinct.select("fp", F.explode(keys).alias("b")).select("fp", "b.t", "b.k")
     large = materialise(

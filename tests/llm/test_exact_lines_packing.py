@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from chartweave.llm import exact, lines, packing
-from chartweave.llm.queries import tokenizer_path
+from chartweave.llm.packing import tokenizer_path
 
 ROWS = [
     (4, "a b c", None), (2, "abc", "x"), (3, " a\tb\x0bc ", "x"), (7, None, "x"), (6, "", None), (5, " \n", None),
