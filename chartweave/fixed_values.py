@@ -63,6 +63,8 @@ PHI_LABELS = {
     "nom de personne": "PATIENT", "lieu": "LOCATION", "hopital": "HOSPITAL", "adresse": "LOCATION",
 }
 PHI_SCORE_MIN, PHI_SCORER_CHARS, PHI_FUSE_GAP = 0.5, 1024, 2
+#: Characters that neighbouring pieces of a long note share, so that a value is whole in one of them.
+PHI_SCORER_OVERLAP = 128
 
 # ------------------------------------------------------- patient attributes
 # Patterns in the order they are tried.

@@ -69,8 +69,11 @@ def nest_children(
 
 
 # ------------------------------------------------------------------- ingest
-def report_rows(files: DataFrame, dossier: str | None = None) -> DataFrame:
-    """Report columns of ingested ``(filename, text, file_size_bytes)`` rows."""
+def report_rows(files: DataFrame, dossier: str | None = None, content_chars: int | None = None) -> DataFrame:
+    """Report columns of ingested ``(filename, text, file_size_bytes)`` rows.
+
+    Texts stay whole unless ``content_chars`` (``fixed_values.CONTENT_CHARS``) is given.
+    """
     meta = filename_attributes(F.col("filename"))
     rows = files.withColumn("_m", meta)
     return rows.select(
@@ -81,7 +84,7 @@ def report_rows(files: DataFrame, dossier: str | None = None) -> DataFrame:
         F.col("_m.report_date").alias("report_date"),
         "file_size_bytes",
         F.length("text").alias("char_count"),
-        F.substring("text", 1, V.CONTENT_CHARS).alias("content_text"),
+        (F.col("text") if content_chars is None else F.substring("text", 1, content_chars)).alias("content_text"),
         (F.col(dossier) if dossier else F.lit(None).cast("string")).alias("dossier_id"),
     )
 
@@ -207,9 +210,10 @@ def apply_updates(
     stamp: Column | None = None,
 ) -> DataFrame:
     """Overwrite allowed columns with the non-NULL values of a changes table
-    (one row per key) and stamp changed rows."""
+    and stamp changed rows. Changes that repeat a key are merged: per column the
+    greatest non-NULL value holds, so no row is multiplied."""
     cols = [c for c in allowed if c in updates.columns and c in table.columns]
-    new = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in cols], F.lit(True).alias("_hit"))
+    new = updates.groupBy(key).agg(F.lit(True).alias("_hit"), *[F.max(c).alias(f"_new_{c}") for c in cols])
     joined = table.join(new, key, "left")
     out = []
     for c in table.columns:
@@ -248,17 +252,22 @@ def merge_tags(table: DataFrame, changes: DataFrame, key: str = "id", tags: str
     ).select(table.columns)
 
 
-def change_reports(reports: DataFrame, deletes: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
+def change_reports(
+    reports: DataFrame, deletes: DataFrame | None = None, contents: DataFrame | None = None, content_chars: int | None = None
+) -> DataFrame:
     """Drop reports by ``id`` and refresh contents by ``filename``; the
-    character count follows the full new content."""
+    character count follows the full new content. Of several contents for a file the
+    longest counts, then the first in order. Contents stay whole unless
+    ``content_chars`` is given."""
     if deletes is not None:
         reports = lookup_join(reports, deletes.select("id").distinct(), "id", "left_anti")
     if contents is not None:
-        new = contents.select("filename", F.col("content_text").alias("_new"))
+        new = pick_first(contents, ["filename"], [-F.length("content_text"), F.col("content_text")], ["content_text"])
+        new = new.withColumnRenamed("content_text", "_new")
         joined = reports.join(new, "filename", "left")
         reports = joined.withColumn(
             "char_count", F.coalesce(F.length("_new"), F.col("char_count"))
-        ).withColumn("content_text", F.coalesce(F.substring("_new", 1, V.CONTENT_CHARS), "content_text")).select(
+        ).withColumn("content_text", F.coalesce(F.col("_new") if content_chars is None else F.substring("_new", 1, content_chars), "content_text")).select(
             reports.columns
         )
     return reports
@@ -267,7 +276,7 @@ def change_reports(reports: DataFrame, deletes: DataFrame | None = None, content
 def notes_from_reports(reports: DataFrame) -> DataFrame:
     """Notes for the pipeline from stored reports with content."""
     return reports.where(F.length(strip(F.col("content_text"))) > 0).select(
-        F.concat(F.lit("REPORT_"), F.substring(F.col("id").cast("string"), 1, 8)).alias("note_id"),
+        F.concat(F.lit("REPORT_"), F.col("id").cast("string")).alias("note_id"),
         F.col("content_text").alias("text"),
         F.col("id").alias("report_id"),
     )

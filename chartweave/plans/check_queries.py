@@ -9,6 +9,7 @@ from chartweave.functions.dates import parse_date
 from chartweave.operators import attributes, checks
 from chartweave.plans.derived import VISITS_SQL, charts, visits
 from chartweave.plans.registry import Tables, query
+from chartweave.scale import literal_table
 
 
 @query(
@@ -184,7 +185,7 @@ SELECT event_id, concept_id, value FROM (
 )
 def numeric_rules(t: Tables) -> DataFrame:
     """V12 with a rule table, one rule switching its scale."""
-    rules = t.spark.createDataFrame(
+    rules = literal_table(t.spark, 
         [
             (1, '"k": ([0-9]+)', "", ">", 40.0, 50.0, 80.0, "C:high", "high", ""),
             (2, '"k": ([0-9]+)', "", "<", 10.0, None, None, "C:low", "low", ""),
@@ -244,7 +245,7 @@ WHERE CASE r WHEN 0 THEN (contains(lower(text), 'eaueau') OR contains(lower(text
 )
 def conflict_pairs(t: Tables) -> DataFrame:
     """V15 with a rule table over all documents."""
-    rules = t.spark.createDataFrame(
+    rules = literal_table(t.spark, 
         [(0, "drug", "eaueau", "x", "m"), (0, "drug", "thth", "x", "m"), (0, "condition", "tionre", "x", "m"),
          (0, "condition", "ernd", "x", "m"), (1, "drug", "ouou", "x", "m"), (1, "condition", "xment", "x", "m"),
          (1, "condition", "elleé", "x", "m")],

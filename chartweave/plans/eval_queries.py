@@ -11,6 +11,7 @@ from chartweave.operators import normalize as N
 from chartweave.operators import ontology as G
 from chartweave.operators import reports as R
 from chartweave.plans.registry import Tables, query
+from chartweave.scale import literal_table
 from chartweave.plans.graph_queries import RANK_SQL, ranked_orders
 
 # Orders are notes. Extracted concepts are the sizes of their parts, expected ones
@@ -89,7 +90,7 @@ r AS (SELECT *, CAST(tp AS DOUBLE) / greatest(n_exp, 1) AS rec, CASE WHEN n_ext
 
 def _no_near(t: Tables) -> DataFrame:
     """Matches by equality and equivalence only (pass 1), which SQL can express."""
-    near = t.spark.createDataFrame([], "term string, ancestor string")
+    near = literal_table(t.spark, [], "term string, ancestor string")
     return M.note_prf(M.semantic_matches(M.extracted_concepts(_extracted(t)), _expected(t), M.equivalents(_groups(t)), near))
 
 

@@ -9,7 +9,7 @@ from chartweave.operators import ontology as G
 from chartweave.operators import ranking as R
 from chartweave.plans.registry import Tables, query
 from chartweave.plans.text_queries import BIGRAM_SQL, bigrams
-from chartweave.scale import lookup_join, top_k
+from chartweave.scale import literal_table, lookup_join, top_k
 
 # A part's leaf concept is its brand and type; both are its parents (a diamond
 # under one root). Orders are patients with the leaves of their lines, nations are
@@ -195,7 +195,7 @@ UNION SELECT 'economy-7', 'DX'""",
 )
 def disease_names(t: Tables) -> DataFrame:
     """G7."""
-    aliases = t.spark.createDataFrame([("Economy-7", "DX", 0)], "alias string, disease_id string, ord int")
+    aliases = literal_table(t.spark, [("Economy-7", "DX", 0)], "alias string, disease_id string, ord int")
     return R.disease_name_index(_named(t), aliases, "ord").select("term", "disease_id")
 
 
@@ -218,7 +218,7 @@ SELECT doc_id, (SELECT arg_min(id, ord) FROM a WHERE contains(lower(text), alias
 )
 def first_alias(t: Tables) -> DataFrame:
     """G9."""
-    aliases = t.spark.createDataFrame(
+    aliases = literal_table(t.spark, 
         [("thandtion", "A1", 0), ("eauouque", "A2", 1), ("ererth", "A3", 2), ("ouai", "A4", 3), ("schber", "A5", 4), ("th", "A6", 5)],
         "alias string, disease_id string, ord int",
     )

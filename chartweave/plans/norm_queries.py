@@ -10,6 +10,7 @@ from chartweave.operators import lexicon as L
 from chartweave.operators import normalize as N
 from chartweave.operators import vectors as VEC
 from chartweave.plans.registry import Tables, query
+from chartweave.scale import literal_table
 from chartweave.plans.text_queries import sql_list
 
 
@@ -125,7 +126,7 @@ SELECT text, language, coalesce(ex, text) AS expanded_text, count(*) AS n FROM x
 def abbreviation_expand(t: Tables) -> DataFrame:
     """N1."""
     e = t.events.select("event_id", F.col("event_type").alias("text"), F.when(F.col("user_id") % 2 == 0, "fr").otherwise("en").alias("language"))
-    table = t.spark.createDataFrame(
+    table = literal_table(t.spark, 
         [("click", "clic souris", "fr", 0), ("click", "mouse click", "en", 0), ("view", "vue", "fr", 0), ("error", "any error", None, 0), ("view", "any view", None, 0)],
         "key string, expansion string, lang string, priority int",
     )
@@ -133,13 +134,13 @@ def abbreviation_expand(t: Tables) -> DataFrame:
 
 
 def _bilingual(t: Tables) -> DataFrame:
-    own = t.spark.createDataFrame(
+    own = literal_table(t.spark, 
         [("red plate", "F:1", "Plate"), ("rod", "F:2", "Rod"), ("promo", None, None), ("hot", "F:3", "Hot")],
         "term string, concept_id string, name string",
     )
     official = t.part.select(F.col("p_name").alias("term")).distinct().select(
         "term", F.concat(F.lit("O:"), "term").alias("concept_id"), F.col("term").alias("name")
-    ).unionByName(t.spark.createDataFrame([("ring", "O:ring", "ring"), ("hot rod", "O:hr", "hr")], "term string, concept_id string, name string"))
+    ).unionByName(literal_table(t.spark, [("ring", "O:ring", "ring"), ("hot rod", "O:hr", "hr")], "term string, concept_id string, name string"))
     return L.bilingual_table(own, official)
 
 
@@ -186,7 +187,7 @@ SELECT p_partkey, coalesce(CASE lower(p_type) WHEN 'promo' THEN 'special' WHEN '
 )
 def translate_terms(t: Tables) -> DataFrame:
     """N6."""
-    table = t.spark.createDataFrame(
+    table = literal_table(t.spark, 
         [("promo", "special", 0), ("small", "little", 0), ("small", "tiny", 1), ("large", "big", 1)],
         "term string, english string, priority int",
     )
@@ -285,7 +286,7 @@ def cascade_vectors(t: Tables) -> DataFrame:
     index = VEC.centroids(t.embeddings.select(F.concat(F.lit("L"), "label").alias("concept_id"), F.col("embedding").alias("vec")))
     word = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("word"), "vec_id")).otherwise(F.concat(F.lit("two words"), "vec_id"))
     ents = t.embeddings.select("vec_id", word.alias("text"), F.lit("problem").alias("category"), F.lit(0.9).alias("score"), F.lit("en").alias("language"))
-    empty = t.spark.createDataFrame([("nothing else", "Z", "z", "exact_label")], "term string, concept_id string, name string, match_type string")
+    empty = literal_table(t.spark, [("nothing else", "Z", "z", "exact_label")], "term string, concept_id string, name string, match_type string")
     dims = N.Dictionaries(
         empty, concept_vectors=index.withColumn("name", F.col("concept_id")),
         text_vectors=t.embeddings.select(word.alias("text"), F.col("embedding").alias("vec")), tau=0.5,
@@ -331,7 +332,7 @@ def match_stats(t: Tables) -> DataFrame:
     """
 WITH lex AS (SELECT DISTINCT unnest(regexp_extract_all(translate(lower(text), 'éèêàâäùûüïîôöçñóíáúß', 'eeeaaauuuiioocnoiaus'), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark),
 w AS (SELECT DISTINCT unnest(regexp_extract_all(translate(lower(text), 'éèêàâäùûüïîôöçñóíáúß', 'eeeaaauuuiioocnoiaus'), '[\\p{L}\\p{N}_]+')) AS k FROM conversations),
-j AS (SELECT k, term, levenshtein(k, term) AS e FROM w JOIN lex ON k[1:3] = term[1:3] AND length(k) >= 3 AND length(term) >= 3 AND abs(length(k) - length(term)) <= 1)
+j AS (SELECT k, term, levenshtein(k, term) AS e FROM w JOIN lex ON abs(length(k) - length(term)) <= 1)
 SELECT k, min(e) AS edits, arg_min(term, (e, term)) AS name FROM j WHERE e <= 1 GROUP BY k""",
 )
 def fuzzy_match(t: Tables) -> DataFrame:

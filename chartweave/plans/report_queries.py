@@ -294,7 +294,7 @@ def report_changes(t: Tables) -> DataFrame:
 
 @query(
     "report_notes",
-    "SELECT 'REPORT_' || CAST(doc_id AS VARCHAR)[1:8] AS note_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE length(trim(text, E' \\t\\n\\r\\f\\x0B')) > 0 GROUP BY 1",
+    "SELECT 'REPORT_' || CAST(doc_id AS VARCHAR) AS note_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents WHERE length(trim(text, E' \\t\\n\\r\\f\\x0B')) > 0 GROUP BY 1",
 )
 def report_notes(t: Tables) -> DataFrame:
     """R20, input half: stored reports as notes for a run."""

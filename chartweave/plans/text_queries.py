@@ -10,7 +10,7 @@ from chartweave.functions.text import PIECES, pieces
 from chartweave.operators import entities as E
 from chartweave.operators import language, merging, negation, phi, scanner, segments, tagger
 from chartweave.plans.registry import Tables, query
-from chartweave.scale import lookup_join
+from chartweave.scale import literal_table, lookup_join
 
 FRENCH = ["le", "la", "les", "des", "du", "une", "dans", "pour", "que ", "eau"]
 ENGLISH = ["the", "and", "of", "with", "was", "that ", "this", "er"]
@@ -101,35 +101,36 @@ def phi_extract(t: Tables) -> DataFrame:
     return phi.extract_phi(t.documents, "text", RULES, "doc_id", "")
 
 
+def _address_scorer(texts: list[str]) -> list[list[dict]]:
+    """Stands in for a model: scores addresses, and noise below the threshold."""
+    import re
+
+    found = []
+    for text in texts:
+        spans = [
+            {"text": m[0], "label": label, "score": score, "start": m.start()}
+            for label, score, pattern in (
+                ("adresse ip", 0.9, r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), ("courriel", 0.8, r"(?:[^\W_]|[._])+@[a-z0-9.]+[a-z]"),
+            )
+            for m in re.finditer(pattern, text)
+        ]
+        found.append([*spans, {"text": "weak", "label": "courriel", "score": 0.2}])
+    return found
+
+
 @query(
     "phi_merge",
     "WITH " + _phi_sql(RULES[:2])
-    + """, w AS (SELECT doc_id, 'IP' AS category, unnest(regexp_extract_all(text[1:1024], '([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})', 1)) AS value FROM documents
-  UNION ALL SELECT doc_id, 'EMAIL', unnest(regexp_extract_all(text[1:1024], '([\\p{L}\\p{N}._]+@[a-z0-9.]+[a-z])', 1)) FROM documents),
+    + """, w AS (SELECT doc_id, 'IP' AS category, unnest(regexp_extract_all(text, '([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})', 1)) AS value FROM documents
+  UNION ALL SELECT doc_id, 'EMAIL', unnest(regexp_extract_all(text, '([\\p{L}\\p{N}._]+@[a-z0-9.]+[a-z])', 1)) FROM documents),
   u AS (SELECT doc_id, category, value FROM d UNION SELECT doc_id, category, value FROM w WHERE length(value) >= 2)
   SELECT doc_id, category, count(*) AS n, count(DISTINCT value) AS n_values FROM u GROUP BY ALL""",
 )
 def phi_merge(t: Tables) -> DataFrame:
-    """Spans of a batch scorer over the text heads join the pattern spans."""
-
-    def scorer(texts: list[str]) -> list[list[dict]]:
-        import regex
-
-        found = []
-        for text in texts:
-            spans = [
-                {"text": m, "label": "adresse ip", "score": 0.9}
-                for m in regex.findall(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", text)
-            ]
-            spans += [
-                {"text": m, "label": "courriel", "score": 0.8}
-                for m in regex.findall(r"[\p{L}\p{N}._]+@[a-z0-9.]+[a-z]", text)
-            ]
-            found.append(spans + [{"text": "weak", "label": "courriel", "score": 0.2}])
-        return found
+    """Spans of a batch scorer over the whole texts join the pattern spans."""
 
     own = phi.extract_phi(notes(t), "text", RULES[:2], flags="")
-    scored = phi.score_phi(notes(t), scorer, labels={"adresse ip": "IP", "courriel": "EMAIL"})
+    scored = phi.score_phi(notes(t), _address_scorer, labels={"adresse ip": "IP", "courriel": "EMAIL"})
     merged = phi.merge_phi(own.withColumn("note_id", F.col("note_id").cast("string")), scored)
     return merged.groupBy(F.col("note_id").cast("long").alias("doc_id"), "category").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("n_values")
@@ -286,7 +287,7 @@ def label_map(t: Tables) -> DataFrame:
     e = t.events.select(
         "event_id", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("source"), F.col("event_type").alias("label")
     )
-    table = t.spark.createDataFrame(LABELS, "source string, label string, category string")
+    table = literal_table(t.spark, LABELS, "source string, label string, category string")
     return E.map_labels(e, table, {"b": "problem"}).groupBy("source", "label", "category").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -495,7 +496,7 @@ _NEG_SQL = f"""
 WITH cues(lang, kind, ord, cue, m, words) AS (VALUES {_cue_values()}),
 targets(lang, w) AS (VALUES ('fr','eau'),('fr','les'),('fr','aile'),('fr','une'),('en','this'),('en','for'),('en','and'),('en','hand')),
 s AS (SELECT doc_id, lang, unnest(ss) AS sent, generate_subscripts(ss, 1) AS sid FROM
-   (SELECT doc_id, lang, regexp_extract_all(text, '{SQL_SENTENCE}') AS ss FROM documents WHERE lang IN ('fr','en'))),
+   (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'fr' ELSE 'en' END AS lang, regexp_extract_all(text, '{SQL_SENTENCE}') AS ss FROM documents)),
 p AS (SELECT doc_id, lang, sid, regexp_extract_all(lower(sent), '{SQL_PIECES}') AS ps FROM s),
 m AS (SELECT doc_id, lang, sid, ps, unnest(list_filter(range(1, len(ps) + 1), lambda i: ps[i] IN ('eau','les','aile','une','this','for','and','hand'))) AS i FROM p),
 mm AS (SELECT m.* FROM m JOIN targets t ON m.lang = t.lang AND m.ps[m.i] = t.w),
@@ -524,10 +525,11 @@ f AS (SELECT doc_id, sid, i, CASE WHEN NOT pseudo THEN coalesce(pre, post) END A
 
 def negated_mentions(t: Tables) -> DataFrame:
     """Mentions of target words per sentence with negation columns."""
-    docs = t.documents.where(F.col("lang").isin("fr", "en")).select("doc_id", "lang", "text")
-    sents = segments.sentences(docs, "text", ("doc_id", "lang")).drop("start", "end")
+    # Every language but French is routed to English, as in P2.
+    routed = F.when(F.col("lang") == "fr", "fr").otherwise("en").alias("lang")
+    sents = segments.sentences(t.documents.select("doc_id", routed, "text"), "text", ("doc_id", "lang")).drop("start", "end")
     rows = [(lang, w) for lang, ws in TARGETS.items() for w in ws]
-    table = t.spark.createDataFrame(rows, "language string, term string")
+    table = literal_table(t.spark, rows, "language string, term string")
     lexicon = table.select("term").distinct()
     found = tagger.tag_terms(
         sents.withColumnRenamed("lang", "language"), lexicon, "sentence", "term", ("doc_id", "language", "sentence_id", "sentence"),

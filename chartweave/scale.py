@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A side is broadcast only if its planned size stays under this many bytes.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -13,9 +17,27 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 RULE_ROWS = 2000
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: Operators whose size Catalyst guesses from their input, whatever comes out.
+_GUESSED = re.compile(r"Generate|LogicalRDD|ExternalRDD|MapIn|FlatMap|Expand|Join")
+#: Bytes in memory per byte of a Parquet file, at most in what the engine writes.
+UNPACKED = 4
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job is run), or None where it would be a guess."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _GUESSED.search(plan.toString()):
+        return None
+    packed = UNPACKED if "Relation [" in plan.toString() else 1
+    return packed * int(str(plan.stats().sizeInBytes()))
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation, whose size the planner knows."""
+    kinds = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+    arrow = pa.table({f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(kinds, columns, strict=True)})
+    return spark.createDataFrame(arrow, schema=kinds)
 
 
 def lookup_join(
@@ -27,11 +49,13 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large left side with a dimension.
 
-    The dimension is broadcast only when its planned size is within
-    ``limit_bytes``. Beyond that the join is a plain shuffle join, where adaptive
-    execution splits skewed left partitions, so no size breaks the operator.
+    The dimension is broadcast by hint only when its planned size is known and
+    within ``limit_bytes``. Where it is a guess (exploded rows, rows of Python, other
+    joins) nothing is forced: adaptive execution measures the shuffled side and
+    broadcasts it if it is small, and splits skewed left partitions if it is not.
     """
-    if plan_bytes(right) <= limit_bytes:
+    size = plan_bytes(right)
+    if size is not None and size <= limit_bytes:
         right = F.broadcast(right)
     return left.join(right, on, how)
 
@@ -41,8 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
 
     A table read in fewer partitions than there are cores (one small file, say) is
     repartitioned; a table that already fills the cluster is returned as it is, so
-    large inputs are never shuffled for this.
+    large inputs are never shuffled for this. What comes out of a shuffle is left to
+    adaptive execution: its partitions are not known before it runs.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "AdaptiveSparkPlan" in plan or "Exchange" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df

@@ -27,9 +27,13 @@ def write_documents(docs: DataFrame, folder: str) -> None:
 
 
 def result_rows(
-    notes: DataFrame, stats: DataFrame, summary: DataFrame, candidates: DataFrame, full: DataFrame, key: str = "note_id"
+    notes: DataFrame, stats: DataFrame, summary: DataFrame, candidates: DataFrame, full: DataFrame, key: str = "note_id",
+    text_chars: int | None = None,
 ) -> DataFrame:
-    """K2: flat result rows with the nested results as STRUCT columns."""
+    """K2: flat result rows with the nested results as STRUCT columns.
+
+    The source text stays whole unless ``text_chars`` (``fixed_values.RESULT_TEXT_CHARS``) is given.
+    """
     top = candidates.where("rank = 1").select(
         key, F.col("name").alias("ordo_top_name"), F.col("score").alias("ordo_top_score")
     )
@@ -38,7 +42,7 @@ def result_rows(
         notes.join(stats, key, "left").join(summary, key, "left").join(top, key, "left")
         .join(full.select(key, F.struct("module1", "module3_warnings", "module4").alias("full_result"), "phenopacket"), key, "left")
         .select(
-            key, "language", F.substring("clean_text", 1, V.RESULT_TEXT_CHARS).alias("source_text"),
+            key, "language", (F.col("clean_text") if text_chars is None else F.substring("clean_text", 1, text_chars)).alias("source_text"),
             F.coalesce("total", F.lit(0)).alias("total_entities"), F.coalesce("matched", F.lit(0)).alias("matched_hpo"),
             zero("negated_count", 0), F.coalesce("numeric_phenotypes", F.lit(0)).alias("numeric_phenotypes_count"),
             "ordo_top_name", zero("ordo_top_score", 0.0), "full_result", "phenopacket",
