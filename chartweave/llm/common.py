@@ -57,10 +57,10 @@ def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     return out.unionByName(ranked.where("n <= stay").select("row.*"))
 
 
-def small_batches(spark, rows: int = 2000) -> None:
+def small_batches(spark, rows: int = 500) -> None:
     """Bound what a Python worker gets at once; texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def filter_texts(docs: DataFrame, test: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
