@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 from chartweave import schemas
 
 
-def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON array files; a missing path gives an empty table of the same schema."""
+def _read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON array files, read one to a task, or JSON ``lines``, which are split; a
+    missing path gives an empty table of the same schema."""
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def labelled_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(notes, gold)`` of a JSON array of annotated notes."""
-    rows = spark.read.schema(schemas.LABELLED_CORPUS).option("multiLine", True).json(path)
+def labelled_corpus(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(notes, gold)`` of annotated notes in a JSON array, or JSON ``lines``."""
+    rows = spark.read.schema(schemas.LABELLED_CORPUS).option("multiLine", not lines).json(path)
     notes = rows.select("note_id", "text", F.col("source_file").alias("filename"))
     gold = rows.select(
         "note_id", "disease", F.col("orpha_id").alias("disease_id"), F.col("expected_hpo").alias("expected"),
@@ -30,14 +31,16 @@ def labelled_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return notes, gold
 
 
-def case_corpus(spark: SparkSession, path: str) -> DataFrame:
+def case_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Unlabelled case reports; a missing file is an empty corpus."""
-    return _read_json(spark, path, schemas.CASES)
+    return _read_json(spark, path, schemas.CASES, lines)
 
 
-def saved_outputs(spark: SparkSession, folder: str, schema: str, pattern: str = "*_full_output.json") -> DataFrame:
+def saved_outputs(
+    spark: SparkSession, folder: str, schema: str, pattern: str = "*_full_output.json", lines: bool = False
+) -> DataFrame:
     """Saved result documents with their file name, in name order."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", pattern).json(folder)
+    rows = spark.read.schema(schema).option("multiLine", not lines).option("pathGlobFilter", pattern).json(folder)
     return rows.withColumn("file_name", F.col("_metadata.file_name")).orderBy("file_name")
 
 

@@ -57,7 +57,7 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """Long ``(disease_id, name, concept_id)`` of an annotation TSV; negated and
     foreign rows are dropped and a disease's first name is used."""
-    rows = spark.read.option("sep", "\t").option("comment", "#").schema(
+    rows = spark.read.option("sep", "\t").option("quote", "").option("comment", "#").schema(
         "database_id string, disease_name string, qualifier string, concept_id string"
     ).option("mode", "PERMISSIVE").csv(path)
     kept = rows.select(
