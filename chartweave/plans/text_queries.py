@@ -137,6 +137,21 @@ def phi_merge(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "phi_scored_redact",
+    """WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\\p{L}\\p{N}._]+@[a-z0-9.]+[a-z]', '[EMAIL]', 'g'),
+    '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}', '[ID]', 'g') AS x FROM documents),
+  b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '\\[EMAIL\\]\\s*(?:\\[EMAIL\\]\\s*)*', '[EMAIL] ', 'g'), '\\[ID\\]\\s*(?:\\[ID\\]\\s*)*', '[ID] ', 'g'), E' \\t\\n\\r\\f\\x0B') AS clean FROM a)
+  SELECT doc_id, length(clean) AS clean_chars, md5(clean) AS clean_md5 FROM b""",
+)
+def phi_scored_redact(t: Tables) -> DataFrame:
+    """A scorer's spans over whole texts are cut out by offset."""
+    docs = t.documents.select("doc_id", F.col("doc_id").cast("string").alias("note_id"), "text", F.lit("en").alias("language"))
+    spans = phi.score_phi(docs, _address_scorer, labels={"adresse ip": "ID", "courriel": "EMAIL"})
+    clean = phi.redact(docs, "text", {}, spans=spans)
+    return clean.select("doc_id", F.length("clean_text").alias("clean_chars"), F.md5("clean_text").alias("clean_md5"))
+
+
 @query(
     "phi_redact",
     "WITH " + _phi_sql(RULES)

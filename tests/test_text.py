@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from chartweave import fixed_values as V
 from chartweave.functions import dates, text
 from chartweave.operators import attributes, entities, language, negation, phi, scanner, segments, tagger
@@ -83,6 +84,37 @@ def test_english_spans_redacted_by_offset(spark):
     assert r.clean_text == "Seen [NAME] at home"
 
 
+def _find_ana(texts):
+    if len(texts) > 1 and any("boom" in t for t in texts):
+        raise RuntimeError("batch")
+    if "boom" in texts[0]:
+        raise ValueError("bad text")
+    return [[{"text": "Ana", "label": "nom de personne", "score": 0.9, "start": m.start()} for m in re.finditer("Ana", t)] for t in texts]
+
+
+def test_scorer_reads_whole_notes_and_reports_failing_texts(spark):
+    long = "x " * 900 + "Ana" + " y" * 900 + " Ana"
+    notes = spark.createDataFrame(
+        [("a", "Ana here", "en"), ("b", "boom Ana", "en"), ("c", long, "en"), ("d", None, "en"), ("e", "", "en")], "note_id string, text string, language string"
+    )
+    spans = phi.score_phi(notes, _find_ana, chunk_chars=100, overlap=20)
+    got = sorted((r.note_id, r.category, r.start, r.end, r.error) for r in spans.collect() if r.note_id != "b")
+    assert got == [("a", "PATIENT", 0, 3, None), ("c", "PATIENT", 1800, 1803, None), ("c", "PATIENT", 3604, 3607, None)]
+    assert [(r.category, r.start, r.end, r.error) for r in spans.where("note_id = 'b'").collect()] == [(None, 0, 8, "ValueError: bad text")]
+    clean = {r.note_id: r.clean_text for r in phi.redact(notes, "text", {}, spans=spans).collect()}
+    assert clean["a"] == "[PATIENT] here" and "Ana" not in clean["c"] and clean["b"] == "boom Ana" and clean["e"] == ""
+    own = spark.createDataFrame([("a", "NAME", "Zed", 0)], "note_id string, category string, value string, seq int")
+    merged = {(r.note_id, r.category, r.value) for r in phi.merge_phi(own, spans).collect()}
+    assert merged == {("a", "NAME", "Zed"), ("a", "PATIENT", "Ana"), ("c", "PATIENT", "Ana")}
+
+
+def test_notes_without_rules_or_spans_can_be_dropped_or_refused(spark):
+    notes = spark.createDataFrame([("a", "raw", "en")], "note_id string, text string, language string")
+    assert phi.redact(notes).first().clean_text == "raw" and phi.redact(notes, unruled="drop").first().clean_text is None
+    with pytest.raises(Exception, match="no rules and no spans"):
+        phi.redact(notes, unruled="error").collect()
+
+
 def test_span_fusion_and_blocks_agree(spark):
     rng = random.Random(3)
     rows = []
