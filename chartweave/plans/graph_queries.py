@@ -9,7 +9,7 @@ from chartweave.operators import ontology as G
 from chartweave.operators import ranking as R
 from chartweave.plans.registry import Tables, query
 from chartweave.plans.text_queries import BIGRAM_SQL, bigrams
-from chartweave.scale import literal_table, lookup_join, top_k
+from chartweave.scale import literal_table, lookup_join
 
 # A part's leaf concept is its brand and type; both are its parents (a diamond
 # under one root). Orders are patients with the leaves of their lines, nations are
@@ -91,23 +91,22 @@ def order_leaves(t: Tables) -> DataFrame:
 
 
 def profiles(t: Tables) -> DataFrame:
-    """Nation profiles: the twelve leaves with the largest share among the
-    nation's lines relative to all lines."""
+    """Nation profiles: every leaf that the nation's lines hold more often than an
+    average nation's do."""
     s = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("disease_id"))
     counts = lookup_join(order_leaves(t), s, "l_suppkey").groupBy("disease_id", "concept_id").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("concept_id").agg(F.sum("n").alias("all"))
-    lift = counts.join(totals, "concept_id").withColumn("lift", F.col("n") / F.col("all"))
-    top = top_k(lift, ["disease_id"], [F.col("lift").desc(), F.col("concept_id")], 12)
+    nations = counts.agg(F.count_distinct("disease_id").alias("nations"))
+    held = counts.join(totals, "concept_id").join(F.broadcast(nations)).where(F.col("n") * F.col("nations") > F.col("all"))
     names = t.nation.select(F.col("n_nationkey").cast("string").alias("disease_id"), F.col("n_name").alias("name"))
-    return lookup_join(top, names, "disease_id").select("disease_id", "name", "concept_id")
+    return lookup_join(held, names, "disease_id").select("disease_id", "name", "concept_id")
 
 
 _PROFILES_SQL = f"""
 ol AS (SELECT l_orderkey AS note_id, {_LEAF} AS concept_id, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey),
 cn AS (SELECT CAST(s_nationkey AS VARCHAR) AS disease_id, concept_id, count(*) AS n FROM ol JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 tot AS (SELECT concept_id, sum(n) AS a FROM cn GROUP BY ALL),
-profiles AS (SELECT disease_id, concept_id FROM (SELECT disease_id, concept_id, row_number() OVER (PARTITION BY disease_id ORDER BY CAST(n AS DOUBLE) / a DESC, concept_id) AS rn
-   FROM cn JOIN tot USING (concept_id)) WHERE rn <= 12),
+profiles AS (SELECT disease_id, concept_id FROM cn JOIN tot USING (concept_id) WHERE n * (SELECT count(DISTINCT disease_id) FROM cn) > a),
 reach AS (SELECT DISTINCT disease_id, ancestor FROM profiles JOIN closure ON concept_id = term),
 tn AS (SELECT count(DISTINCT disease_id) AS t FROM profiles),
 ic AS (SELECT ancestor AS concept_id, count(*) AS n, CASE WHEN count(*) < max(t) THEN -log2(CAST(count(*) AS DOUBLE) / max(t)) ELSE 0.0 END AS ic FROM reach, tn GROUP BY ancestor)
