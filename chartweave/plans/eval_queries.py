@@ -11,7 +11,7 @@ from chartweave.operators import normalize as N
 from chartweave.operators import ontology as G
 from chartweave.operators import reports as R
 from chartweave.plans.registry import Tables, query
-from chartweave.scale import literal_table
+
 from chartweave.plans.graph_queries import RANK_SQL, ranked_orders
 
 # Orders are notes. Extracted concepts are the sizes of their parts, expected ones
@@ -72,26 +72,34 @@ def _matches(t: Tables) -> DataFrame:
     return M.semantic_matches(M.extracted_concepts(_extracted(t)), _expected(t), M.equivalents(_groups(t)), near)
 
 
-@query("semantic_matches")
-def semantic_matches(t: Tables) -> DataFrame:
-    """M3: greedy second pass; tested against brute force."""
-    return _matches(t).select("note_id", "tp", "fn", "fp", "n_extracted", "n_expected")
-
-
+#: Pass 2 in SQL: a note expects at most three ids, so its greedy choice is three steps in id order.
 _PRF_SQL = f"""
-WITH {_EX_SQL}, p1 AS (SELECT DISTINCT xp.note_id, xp.c FROM xp JOIN eq ON xp.c = 's' || eq.a JOIN ex ON ex.note_id = xp.note_id AND ex.c = 's' || eq.b),
-u1 AS (SELECT xp.note_id, xp.c, min(ex.c) AS e FROM xp JOIN eq ON xp.c = 's' || eq.a JOIN ex ON ex.note_id = xp.note_id AND ex.c = 's' || eq.b GROUP BY ALL),
-m AS (SELECT o.note_id, coalesce(n_ext, 0) AS n_ext, n_exp, coalesce(tp, 0) AS tp, coalesce(used, 0) AS used FROM (SELECT note_id, count(*) AS n_exp FROM xp GROUP BY ALL) o
-  LEFT JOIN (SELECT note_id, count(*) AS n_ext FROM ex GROUP BY ALL) USING (note_id) LEFT JOIN (SELECT note_id, count(*) AS tp FROM p1 GROUP BY ALL) USING (note_id)
-  LEFT JOIN (SELECT note_id, count(DISTINCT e) AS used FROM u1 GROUP BY ALL) USING (note_id)),
+WITH {_EX_SQL}, u1 AS (SELECT xp.note_id, xp.c, min(ex.c) AS e FROM xp JOIN eq ON xp.c = 's' || eq.a JOIN ex ON ex.note_id = xp.note_id AND ex.c = 's' || eq.b GROUP BY ALL),
+up1 AS (SELECT DISTINCT 's' || p_size AS t, 's' || (p_size // 2) AS a FROM part WHERE p_size // 2 > 0),
+up AS (SELECT t, a FROM up1 UNION SELECT x.t, y.a FROM up1 x JOIN up1 y ON x.a = y.t),
+rel AS (SELECT t AS xc, a AS ec FROM up WHERE t <> a UNION SELECT a, t FROM up WHERE t <> a),
+lx AS (SELECT note_id, c, row_number() OVER (PARTITION BY note_id ORDER BY c) AS r FROM xp ANTI JOIN u1 ON xp.note_id = u1.note_id AND xp.c = u1.c),
+le AS (SELECT ex.note_id, ex.c FROM ex ANTI JOIN u1 ON ex.note_id = u1.note_id AND ex.c = u1.e),
+cand AS (SELECT lx.note_id, lx.r, le.c AS e FROM lx JOIN rel ON lx.c = rel.xc JOIN le ON le.note_id = lx.note_id AND le.c = rel.ec),
+g1 AS (SELECT note_id, min(e) AS e FROM cand WHERE r = 1 GROUP BY note_id),
+g2 AS (SELECT c.note_id, min(c.e) AS e FROM cand c LEFT JOIN g1 USING (note_id) WHERE r = 2 AND c.e IS DISTINCT FROM g1.e GROUP BY c.note_id),
+g3 AS (SELECT c.note_id, min(c.e) AS e FROM cand c LEFT JOIN g1 USING (note_id) LEFT JOIN g2 USING (note_id) WHERE r = 3 AND c.e IS DISTINCT FROM g1.e AND c.e IS DISTINCT FROM g2.e GROUP BY c.note_id),
+p2 AS (SELECT note_id, count(*) AS n2 FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3) GROUP BY note_id),
+m AS (SELECT o.note_id, coalesce(n_ext, 0) AS n_ext, n_exp, coalesce(tp, 0) + coalesce(n2, 0) AS tp, coalesce(used, 0) + coalesce(n2, 0) AS used
+  FROM (SELECT note_id, count(*) AS n_exp FROM xp GROUP BY ALL) o LEFT JOIN (SELECT note_id, count(*) AS n_ext FROM ex GROUP BY ALL) USING (note_id)
+  LEFT JOIN (SELECT note_id, count(*) AS tp, count(DISTINCT e) AS used FROM u1 GROUP BY ALL) USING (note_id) LEFT JOIN p2 USING (note_id)),
 r AS (SELECT *, CAST(tp AS DOUBLE) / greatest(n_exp, 1) AS rec, CASE WHEN n_ext > 0 THEN CAST(tp AS DOUBLE) / greatest(n_ext, 1) ELSE 0.0 END AS prec FROM m)
 """
 
 
-def _no_near(t: Tables) -> DataFrame:
-    """Matches by equality and equivalence only (pass 1), which SQL can express."""
-    near = literal_table(t.spark, [], "term string, ancestor string")
-    return M.note_prf(M.semantic_matches(M.extracted_concepts(_extracted(t)), _expected(t), M.equivalents(_groups(t)), near))
+@query("semantic_matches", _PRF_SQL + "SELECT note_id, tp, n_exp - tp AS fn, n_ext - used AS fp, n_ext AS n_extracted, n_exp AS n_expected FROM r")
+def semantic_matches(t: Tables) -> DataFrame:
+    """M3, both passes."""
+    return _matches(t).select("note_id", "tp", "fn", "fp", "n_extracted", "n_expected")
+
+
+def _prf(t: Tables) -> DataFrame:
+    return M.note_prf(_matches(t))
 
 
 @query(
@@ -100,8 +108,8 @@ def _no_near(t: Tables) -> DataFrame:
   CAST(round(2 * prec * rec / greatest(prec + rec, 1e-9), 6) AS DOUBLE) AS f1 FROM r""",
 )
 def note_prf(t: Tables) -> DataFrame:
-    """M3 (pass 1) + M4."""
-    return _no_near(t).select(
+    """M3 + M4."""
+    return _prf(t).select(
         "note_id", "tp", "fn", "fp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1")
     )
 
@@ -116,7 +124,7 @@ def note_prf(t: Tables) -> DataFrame:
 )
 def corpus_prf(t: Tables) -> DataFrame:
     """M5."""
-    return M.corpus_prf(_no_near(t))
+    return M.corpus_prf(_prf(t))
 
 
 @query(
@@ -126,7 +134,7 @@ def corpus_prf(t: Tables) -> DataFrame:
 )
 def disease_prf(t: Tables) -> DataFrame:
     """M13."""
-    rows = _no_near(t).join(t.orders.select(F.col("o_orderkey").alias("note_id"), F.col("o_orderpriority").alias("disease")), "note_id")
+    rows = _prf(t).join(t.orders.select(F.col("o_orderkey").alias("note_id"), F.col("o_orderpriority").alias("disease")), "note_id")
     return M.disease_prf(rows)
 
 

@@ -429,9 +429,20 @@ def dictionary_tags(t: Tables) -> DataFrame:
     )
 
 
-@query("text_scan")
+#: Dictionary hits with offsets, and the greedy folds over one document's hits.
+PLACED_SQL = BIGRAM_SQL + """, placed AS (SELECT doc_id, ps[i] || ps[i + 1] || ps[i + 2] AS t, length(array_to_string(ps[1:i - 1], '')) AS s FROM dg
+   WHERE ps[i] || ps[i + 1] || ps[i + 2] IN (SELECT term FROM lex))
+"""
+
+
+@query(
+    "text_scan",
+    f"""WITH {PLACED_SQL}, o AS (SELECT doc_id, list({{'t': t, 's': s, 'e': s + length(t), 'c': 'C:' || t[1:4]}} ORDER BY length(t) DESC, t, s) AS hs FROM placed GROUP BY doc_id),
+  k AS (SELECT doc_id, unnest(list_reduce(hs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: a.c = x.c OR (x.s < a.e AND x.e > a.s))) > 0 THEN acc ELSE list_append(acc, x) END, hs[1:0])) AS h FROM o)
+  SELECT doc_id, CAST(h.s AS INTEGER) AS start, CAST(h.e AS INTEGER) AS "end", h.t AS term, h.c AS concept_id FROM k""",
+)
 def text_scan(t: Tables) -> DataFrame:
-    """Greedy choice among dictionary hits; tested against brute force."""
+    """Greedy choice among dictionary hits."""
     lookup = bigrams(t).select(
         "term", F.concat(F.lit("C:"), F.substring("term", 1, 4)).alias("concept_id"), F.col("term").alias("name"),
         F.lit("exact_label").alias("match_type"),
@@ -481,7 +492,13 @@ def fragment_merge(t: Tables) -> DataFrame:
     )
 
 
-@query("overlap_fusion")
+@query(
+    "overlap_fusion",
+    f"""WITH {PLACED_SQL}, o AS (SELECT doc_id, list({{'s': s, 'e': s + length(t)}} ORDER BY length(t) DESC, s, s + length(t)) AS hs FROM placed GROUP BY doc_id),
+  k AS (SELECT doc_id, unnest(list_reduce(hs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda a:
+     greatest(least(a.e, x.e) - greatest(a.s, x.s), 0) / CAST(a.e - a.s + x.e - x.s - greatest(least(a.e, x.e) - greatest(a.s, x.s), 0) AS DOUBLE) >= 0.2)) > 0 THEN acc ELSE list_append(acc, x) END, hs[1:0])) AS h FROM o)
+  SELECT doc_id, count(*) AS n, CAST(sum(h.s) AS BIGINT) AS sum_start FROM k GROUP BY doc_id""",
+)
 def overlap_fusion(t: Tables) -> DataFrame:
     """Overlapping phrase hits per document, best of each overlap kept."""
     hits = tagger.tag_terms(t.documents, bigrams(t), "text", "term", ("doc_id",)).select(
