@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,27 +11,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartweave.llm.common import row_key, same_row, small_batches
+from chartweave.llm.common import let_go, row_key, same_row, small_batches
 from chartweave.session import materialise
 
 #: Sentences and words a span has at least; a sentence of ``ALONE`` words is a span of its own.
 SENTENCES, WORDS, ALONE = 2, 20, 40
 
+#: Words from which a sentence is cut at its commas, and from which a clause is cut after every word whose
+#: checksum is a multiple of ``EVERY``.
+LONG, CLAUSE, EVERY = 16, 24, 8
+
+_COMMA, _WORD = re.compile(r"[,;:]\s+"), re.compile(r"\S+\s*")
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
 
 SPANS = "doc_id long, text_key long, at int, n int, h long, g int"
 CLEANED = "doc_id long, n_sentences long, n_removed long, n_spans long, text string"
 
 
-def sentences(text: str | None) -> list[str]:
-    """Pieces of a text, each a sentence with the white space after it; together they are the text."""
-    text = text or ""
-    cuts = [0, *[m.end() for m in _END.finditer(text)]]
-    if cuts[-1] < len(text):
-        cuts.append(len(text))
+def _cut(text: str, ends: list[int]) -> list[str]:
+    cuts = [0, *ends] if not ends or ends[-1] == len(text) else [0, *ends, len(text)]
+    if not ends and text:
+        cuts = [0, len(text)]
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def sentences(text: str | None) -> list[str]:
+    """Pieces of a text, each with the white space after it; together they are the text.
+
+    A piece is a sentence. A long one is cut at its commas, and what is long still
+    after words chosen by their checksum. Where cuts fall depends on what stands
+    there, so a passage set into another sentence is cut as it was before.
+    """
+    out = []
+    for sentence in _cut(text or "", [m.end() for m in _END.finditer(text or "")]):
+        if len(sentence.split()) < LONG:
+            out.append(sentence)
+            continue
+        for clause in _cut(sentence, [m.end() for m in _COMMA.finditer(sentence)]):
+            words = list(_WORD.finditer(clause))
+            if len(words) < CLAUSE:
+                out.append(clause)
+            else:
+                out += _cut(clause, [w.end() for w in words if zlib.crc32(w[0].strip().lower().encode()) % EVERY == 0])
+    return out
+
+
 def spans(pieces: list[str], least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, key) of the shortest span at every sentence.
 
@@ -77,7 +102,7 @@ def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone
 
 
 def dedup_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> DataFrame:
-    """Remove every sentence of ``docs`` (doc_id, text) that a repeated span covers, but for the span's first place.
+    """Remove every piece (see :func:`sentences`) that a repeated span of ``docs`` (doc_id, text) covers, but for its first place.
 
     The first place is the one of the smallest doc_id (null last), then the least
     sentence; repeats within a document go as well. A null or empty text has no
@@ -85,13 +110,14 @@ def dedup_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alo
     Rows that repeat doc_id and text are one document: what one loses the other
     does. Other columns are ignored; an empty table gives an empty result.
 
-    Returns doc_id, n_sentences, n_removed (sentences), n_spans (runs of removed
+    Returns doc_id, n_sentences (pieces), n_removed (pieces), n_spans (runs of removed
     sentences) and text (what stays).
     """
     found = materialise(span_rows(docs, least, words, alone))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "at")
     first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialise(first.where("first <> last").select("h", "g", "first"))
+    let_go(docs.sparkSession)
     covered = found.join(repeated, ["h", "g"]).where(place != F.col("first")).groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("at", "n")).alias("runs")
     )

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -58,11 +59,23 @@ def test_spans_equal_brute_force(spark):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text("ab.!? \n\"", max_size=60))
+@given(st.text("ab.!?, \n\"", max_size=120))
 def test_pieces_make_the_text(text):
     assert "".join(spans.sentences(text)) == text and all(spans.sentences(text))
 
 
+def test_passage_inside_other_sentences_is_caught(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    passages = [" ".join(word() for _ in range(55)), " ".join(word() + ("," if i % 9 == 8 else "") for i in range(55))]
+    rows = []
+    for n, passage in enumerate(passages):
+        for k in range(3):
+            rows.append((10 * n + k, " ".join(word() for _ in range(30)) + " " + passage + " " + " ".join(word() for _ in range(30)) + ".", None, None))
+    got = {r.doc_id: r.n_removed for r in spans.dedup_spans(_docs(spark, rows)).collect()}
+    assert {d for d, n in got.items() if n} == {1, 2, 11, 12}
+
+
 def test_span_query_equals_brute_force(spark):
     import __spark_entry__ as entry
 
