@@ -121,7 +121,8 @@ def exact_dedup(docs: DataFrame, block: int = BLOCK, hash_of=block_hash) -> Data
     order = F.struct(
         (-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("rid").alias("r")
     )
-    best = ident.groupBy("level", "name").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size"))
+    # Written first: a join of two tables is one whose hot names adaptive execution can split.
+    best = materialise(ident.groupBy("level", "name").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("group_size")))
     return ident.join(best, ["level", "name"]).select(
         "rid", "doc_id", F.col("_best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("_best.r")).alias("kept"),
         "text_sha256", "text_key",
