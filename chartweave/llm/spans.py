@@ -24,7 +24,8 @@ LONG, CLAUSE, EVERY = 16, 24, 8
 _COMMA, _WORD = re.compile(r"[,;:]\s+"), re.compile(r"\S+\s*")
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
 
-SPANS = "doc_id long, text_key long, at int, n int, h long, g int"
+SPANS = "doc_id long, text_key long, at int, n int, h long, g int, known boolean"
+COVERED = "doc_id long, text_key long, at int, n int"
 CLEANED = "doc_id long, n_sentences long, n_removed long, n_spans long, text string"
 
 
@@ -78,29 +79,84 @@ def spans(pieces: list[str], least: int = SENTENCES, words: int = WORDS, alone:
     return out
 
 
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Null flag, doc_id, text key and first piece: the order of places, column by column."""
+    doc = batch.column("doc_id")
+    return (
+        doc.is_null().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy(zero_copy_only=False),
+        batch.column("text_key").to_numpy(zero_copy_only=False), batch.column("at").to_numpy(zero_copy_only=False),
+    )
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """For every row the first row of its run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
 def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> DataFrame:
-    """Every span of every whole text as :data:`SPANS`; h and g are 96 bits of its hash."""
+    """Every span of every whole text as :data:`SPANS`; h and g are 96 bits of its hash.
+
+    Of a span that a batch holds at several places all but the first are known to be
+    repeats. They are marked and dealt by their place, so a span that very many
+    documents share sends on one row a batch.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        names = [c.split()[0] for c in SPANS.split(", ")]
         for batch in batches:
             found = [spans(sentences(t.as_py()), least, words, alone) for t in batch.column(2)]
-            repeats = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            repeats = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
             hashes = np.array([divmod(xxh3_128_intdigest(key) >> 32, 1 << 32) for f in found for _, _, key in f], np.uint64).reshape(-1, 2)
-            columns = [
-                batch.column(0).take(repeats), batch.column(1).take(repeats),
-                pa.array([s[0] for f in found for s in f], pa.int32()), pa.array([s[1] for f in found for s in f], pa.int32()),
-                pa.array(hashes[:, 0].view(np.int64)), pa.array(hashes[:, 1].astype(np.uint32).view(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0).take(repeats), batch.column(1).take(repeats),
+                 pa.array([s[0] for f in found for s in f], pa.int32()), pa.array([s[1] for f in found for s in f], pa.int32()),
+                 pa.array(hashes[:, 0].view(np.int64)), pa.array(hashes[:, 1].astype(np.uint32).view(np.int32))],
+                names=["doc_id", "text_key", "at", "n", "h", "g"],
+            )
+            place = _places(out)
+            order = np.lexsort((*reversed(place), hashes[:, 1], hashes[:, 0]))
+            first = order[_runs(hashes[order, 0], hashes[order, 1])]
+            known = np.zeros(len(order), bool)
+            known[order] = np.logical_or.reduce([c[order] != c[first] for c in place])
+            spread = place[2].view(np.uint64) + place[3].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = np.where(known, spread, hashes[:, 0]).view(np.int64)
+            yield out.set_column(4, "h", pa.array(h)).append_column("known", pa.array(known))
 
     return docs.select(*row_key(), "text").mapInArrow(run, SPANS)
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """Places of spans that are not their span's first, as :data:`COVERED`.
+
+    One exchange by hash; a sorted stream shows each span's first place before the
+    others, so nothing is held but the last span seen.
+    """
+    place = [F.col("doc_id").asc_nulls_last(), "text_key", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            columns = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "known")), *_places(batch)]
+            if not len(columns[0]):
+                continue
+            if last is not None:  # the run that the batch before ended with goes on in front
+                columns = [np.concatenate([a, b]) for a, b in zip(last, columns, strict=True)]
+            first = _runs(*columns[:3])
+            hit = columns[2] | np.logical_or.reduce([c != c[first] for c in columns[3:]])
+            skip = len(columns[0]) - batch.num_rows
+            last = [c[first[-1] : first[-1] + 1] for c in columns]
+            yield batch.select(["doc_id", "text_key", "at", "n"]).filter(pa.array(hit[skip:]))
+
+    dealt = rows.repartition("h", "g").sortWithinPartitions("h", "g", "known", *place)
+    return dealt.mapInArrow(run, COVERED)
+
+
 def dedup_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> DataFrame:
     """Remove every piece (see :func:`sentences`) that a repeated span of ``docs`` (doc_id, text) covers, but for its first place.
 
@@ -113,14 +169,9 @@ def dedup_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alo
     Returns doc_id, n_sentences (pieces), n_removed (pieces), n_spans (runs of removed
     sentences) and text (what stays).
     """
-    found = materialise(span_rows(docs, least, words, alone))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "at")
-    first = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = materialise(first.where("first <> last").select("h", "g", "first"))
+    found = materialise(repeated(span_rows(docs, least, words, alone)))
     let_go(docs.sparkSession)
-    covered = found.join(repeated, ["h", "g"]).where(place != F.col("first")).groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("at", "n")).alias("runs")
-    )
+    covered = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     own = docs.select(*row_key(), F.coalesce("text", F.lit("")).alias("text"))
     joined = own.join(covered, same_row(own, covered), "left").select(
         own["doc_id"], "text", F.col("runs.at").alias("at"), F.col("runs.n").alias("n")
