@@ -182,15 +182,15 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
     link at ``radius`` or fewer differing bits; component_id is the smallest doc_id
     reachable, itself included, null ids aside. Repeated rows share a fingerprint
     and so a component. Other columns are ignored; an empty table gives an empty
-    result. Returns doc_id, text_key, fp, component_id.
+    result. Returns doc_id, text_key, fp, root (the component's smallest fingerprint), component_id.
     """
     own = materialise(fingerprints(docs, shingle))
     root = components(materialise(links(own.select("fp").distinct(), radius, blocks, tile=tile))).withColumnRenamed("node", "fp")
     first = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = materialise(first.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(rooted.join(best, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    named = materialise(rooted.join(best, "root").select("fp", "root", "component_id"))
+    return own.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def hex_digits(fp):
@@ -198,14 +198,22 @@ def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each group of :func:`near_groups`: the smallest doc_id's; all columns stay as they are."""
-    grouped = materialise(near_groups(docs, radius, shingle))
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``grouped`` (doc_id, text_key, root): the smallest doc_id's, null ids last."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    best = grouped.groupBy("component_id").agg(F.min(order).alias("s")).select(
+    best = grouped.groupBy("root").agg(F.min(order).alias("s")).select(
         F.col("s.doc_id").alias("_doc"), F.col("s.text_key").alias("_key")
     )
     rows = grouped.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     return keep_rows(docs, rows.join(
         best, rows["doc_id"].eqNullSafe(best["_doc"]) & (rows["text_key"] == best["_key"])
     ).select("doc_id", "text_key", "rows", F.lit(1).cast("long").alias("stay")))
+
+
+def drop_near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group of :func:`near_groups`: the smallest doc_id's; all columns stay as they are.
+
+    Groups are told apart by their root: component_id is null for all groups without
+    an id, and equal where unrelated texts repeat an id.
+    """
+    return keep_first(docs, materialise(near_groups(docs, radius, shingle)))

@@ -107,6 +107,13 @@ def test_near_groups_odd_rows(spark):
     assert s.near_groups(docs.limit(0)).count() == 0
 
 
+def test_unrelated_texts_stay_under_null_and_repeated_ids(spark):
+    text = lambda n: " ".join(f"t{n}w{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (None, text(1)), (7, text(2))]
+    left = s.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(None, text(1)), (7, text(2)), (None, text(3)), (5, text(4)), (5, text(5))]))
+
+
 def test_query_equals_brute_force(spark):
     import __spark_entry__ as entry
 
