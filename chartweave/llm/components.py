@@ -19,7 +19,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes. Every round is
     written to the shared folder, so a lost executor costs one round; the driver
-    sees two numbers a round.
+    sees two numbers a round. Stars that still change after ``most_rounds`` are an error.
     """
     now = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -41,6 +41,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         discard(stars)
         discard(now)
         now = after
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -91,6 +91,12 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_cut_short_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(path, 1)
+
+
 def test_near_groups_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(5, base, "a"), (3, base + " tail", None), (9, "other words " * 9, None), (1, None, None), (2, "", "x"), (None, base, None),
