@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartweave.llm import decontaminate, exact, language, licenses, lines, packing, simhash, spans, suffixes, urls
+from chartweave.llm import clusters, decontaminate, exact, language, licenses, lines, packing, simhash, spans, suffixes, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -159,4 +159,30 @@ def license_scan(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame
     return licenses.scan(docs)
 
 
+def _cluster_sql() -> str:
+    """Unrolled rounds; whole numbers throughout, the floor of a mean by its remainder."""
+    far = "list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    steps = [f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = {clusters.WIDTH} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e::DOUBLE))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id), x) - 1 AS k, x AS c FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('{clusters.SEED}:' || vec_id), x) <= {clusters.CENTROIDS})"""]
+    for r in range(clusters.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': {far}, 'k': k}}) AS m FROM v CROSS JOIN c{r} c GROUP BY rid)")
+        if r < clusters.ROUNDS:
+            steps.append(f"""s{r} AS (SELECT m.k AS k, i, sum(x[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, generate_series(1, {clusters.WIDTH}) g(i) GROUP BY ALL),
+n{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(n.c, c.c) AS c FROM c{r} c LEFT JOIN n{r} n ON c.k = n.k)""")
+    last = clusters.ROUNDS
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c.k::INTEGER AS cluster, m.d::BIGINT AS distance, sum(m.d) OVER (PARTITION BY c.k)::BIGINT AS cluster_inertia, sum(m.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{last} a JOIN c{last} c ON c.k = a.m.k"""
+
+
+@query("op12_centroid_clusters", "embeddings", sql=_cluster_sql())
+def centroid_clusters(vectors: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster of every vector after five rounds."""
+    return clusters.cluster(vectors)
+
+
 LLM_QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
