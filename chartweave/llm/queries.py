@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartweave.llm import clusters, decontaminate, exact, language, licenses, lines, packing, simhash, spans, suffixes, urls
+from chartweave.llm import clusters, decontaminate, exact, language, licenses, lines, packing, repair, simhash, spans, suffixes, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -185,4 +185,43 @@ def centroid_clusters(vectors: DataFrame, spark: SparkSession, folder: str) -> D
     return clusters.cluster(vectors)
 
 
+#: The trial's damage, then a Viterbi table per row with the least (cost, letters) of each state, then the letters played back.
+REPAIR_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+g AS MATERIALIZED (SELECT row_number() OVER () AS g, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+k AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_transform(string_split(coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT),
+  lambda s, b: xor(s >> 8, t.t[(xor(s, b) & 255) + 1]), 4294967295::BIGINT)) % 20 AS code FROM conversations c JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id, t),
+d AS (SELECT g, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, generate_series(1, CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) WHERE code <> 0),
+r AS (SELECT g, turn, role, text, left(role, 1) AS ini, row_number() OVER w AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS again,
+  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut, lag(left(role, 1)) OVER w AS before FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text)),
+f AS MATERIALIZED (SELECT *, cut = '' AS blank, cut <> '' AND again > 1 AS dup, cut <> '' AND again = 1 AND right(cut, 1) NOT IN ('.', '!', '?') AS trunc FROM r),
+ins(q, p, c, a) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+ops(q, ini, p, c, a) AS (VALUES (0, '', 0, 2, 'D'), (1, '', 1, 2, 'D'), (2, '', 2, 2, 'D'), (3, '', 3, 2, 'D'), (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'),
+  (3, 'u', 2, 0, 'K'), (0, '', 2, 1, 'R'), (1, '', 2, 1, 'R'), (2, '', 3, 1, 'R'), (3, '', 2, 1, 'R')),
+moves AS MATERIALIZED (SELECT ins.q, o.p, o.ini, ins.c + o.c AS c, ins.a || o.a AS a, o.a AS op FROM ins JOIN ops o ON o.q = ins.p),
+vit AS (SELECT g, 0::BIGINT AS i, 0 AS q, {'c': 0::BIGINT, 'a': ''} AS s FROM g UNION ALL
+  SELECT v.g, f.i, m.p, min({'c': v.s.c + m.c + CASE WHEN f.trunc AND m.op <> 'D' THEN 5 ELSE 0 END, 'a': v.s.a || m.a})
+  FROM vit v JOIN f ON f.g = v.g AND f.i = v.i + 1 JOIN moves m ON m.q = v.q AND (m.ini = '' OR m.ini = f.ini) AND (m.op = 'D' OR NOT (f.blank OR f.dup)) GROUP BY v.g, f.i, m.p),
+e AS (SELECT v.g, min({'c': v.s.c + ins.c, 'a': v.s.a || ins.a}) AS s FROM vit v JOIN ins ON ins.q = v.q AND ins.p IN (0, 3)
+  WHERE v.i = (SELECT count(*) FROM f WHERE f.g = v.g) GROUP BY v.g),
+x AS (SELECT g, unnest(string_split(s.a, '')) AS x, generate_subscripts(string_split(s.a, ''), 1) AS n FROM e WHERE s.a <> ''),
+y AS (SELECT *, sum((x <> 'I')::INT) OVER w AS i, sum((x <> 'D')::INT) OVER w AS o, sum((x <> 'D')::INT) OVER (PARTITION BY g) AS l FROM x WINDOW w AS (PARTITION BY g ORDER BY n)),
+z AS (SELECT y.g, sha256(string_agg(CASE WHEN x = 'K' THEN f.role WHEN (o + l) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY n)) AS h
+  FROM y LEFT JOIN f ON f.g = y.g AND f.i = y.i WHERE x <> 'D' GROUP BY y.g),
+b AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS dup, count(*) FILTER (trunc) AS trunc,
+  count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(dup, 0)::BIGINT AS duplicate, coalesce(trunc, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, e.s.c::BIGINT AS cost, e.s.a AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM g JOIN e ON e.g = g.g LEFT JOIN z ON z.g = g.g LEFT JOIN b ON b.g = g.g
+"""
+
+
+@query("op13_conversation_repair", "conversations", sql=REPAIR_SQL)
+def conversation_repair(conversations: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    return repair.repair(conversations, damaged=True).verdicts()
+
+
 LLM_QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
