@@ -194,9 +194,10 @@ k AS (SELECT g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
 d AS (SELECT g, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
   CASE WHEN code = 1 THEN '' WHEN code = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM k, generate_series(1, CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) WHERE code <> 0),
-r AS (SELECT g, turn, role, text, left(role, 1) AS ini, row_number() OVER w AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS again,
+r AS (SELECT g, turn, role, text, left(role, 1) AS ini, row_number() OVER w AS i,
   rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut, lag(left(role, 1)) OVER w AS before FROM d WINDOW w AS (PARTITION BY g ORDER BY turn NULLS FIRST, role, text)),
-f AS MATERIALIZED (SELECT *, cut = '' AS blank, cut <> '' AND again > 1 AS dup, cut <> '' AND again = 1 AND right(cut, 1) NOT IN ('.', '!', '?') AS trunc FROM r),
+h AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS again FROM r),
+f AS MATERIALIZED (SELECT *, cut = '' AS blank, cut <> '' AND again > 1 AS dup, cut <> '' AND again = 1 AND right(cut, 1) NOT IN ('.', '!', '?') AS trunc FROM h),
 ins(q, p, c, a) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''), (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
 ops(q, ini, p, c, a) AS (VALUES (0, '', 0, 2, 'D'), (1, '', 1, 2, 'D'), (2, '', 2, 2, 'D'), (3, '', 3, 2, 'D'), (0, 's', 1, 0, 'K'), (0, 'u', 2, 0, 'K'), (1, 'u', 2, 0, 'K'), (2, 'a', 3, 0, 'K'),
   (3, 'u', 2, 0, 'K'), (0, '', 2, 1, 'R'), (1, '', 2, 1, 'R'), (2, '', 3, 1, 'R'), (3, '', 2, 1, 'R')),
