@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartweave.llm import clusters, decontaminate, exact, language, licenses, lines, packing, repair, simhash, spans, suffixes, urls
+from chartweave.llm import clusters, decontaminate, exact, language, licenses, lines, minhash, packing, repair, simhash, spans, suffixes, urls
 from chartweave.session import configure
 
 LLM_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -159,6 +159,13 @@ def license_scan(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame
     return licenses.scan(docs)
 
 
+@query("op11_minhash_near_dedup")
+def minhash_near_dedup(docs: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Set size and component of every document."""
+    found = minhash.near_groups(docs)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def _cluster_sql() -> str:
     """Unrolled rounds; whole numbers throughout, the floor of a mean by its remainder."""
     far = "list_sum(list_transform(list_zip(v.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
