@@ -1,15 +1,27 @@
 from collections import Counter
+from itertools import combinations
 
 import pytest
 
 import corpus_pipeline as p
 from chartweave.llm import decontaminate, language, packing
 from tests.llm.test_exact_lines_packing import _check_pack, brute_exact
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_minhash import brute_set
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def brute_roots(texts):
+    """First text of the group of every text, linked by a five-word Jaccard similarity of 0.8 or more."""
+    sets, root = [brute_set(t, 5) for t in texts], list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if x == old else x for x in root]
+    return root
+
+
 def test_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
@@ -27,7 +39,7 @@ def test_stages_equal_brute_force(spark):
     assert got.columns == names and Counter(map(tuple, got.collect())) == Counter(want)
 
     want.sort()
-    roots = brute_components([brute_fingerprint(r[1]) for r in want], 4)
+    roots = brute_roots([r[1] for r in want])
     got = p.STAGES[2][1](spark, got, FOLDER)
     want = [r for n, r in enumerate(want) if roots[n] == n]
     assert got.columns == names and Counter(map(tuple, got.collect())) == Counter(want)
@@ -44,6 +56,14 @@ def test_stages_equal_brute_force(spark):
     assert {r.doc_id for r in p.run(spark, FOLDER).collect()} == {r[0] for r in left}
 
 
+def test_near_copy_stage_leaves_no_near_copies_and_drops_nothing_else(spark):
+    docs = p.exact_dedup(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "").cache()
+    rows = sorted(map(tuple, docs.collect()))
+    want = brute_roots([r[1] for r in rows])
+    left = p.near_dedup(spark, docs, "")
+    assert sorted(map(tuple, left.collect())) == [r for n, r in enumerate(rows) if want[n] == n] != rows
+
+
 @pytest.mark.parametrize("stage", range(len(p.STAGES)))
 def test_stages_take_odd_rows(spark, stage):
     kinds = "doc_id long, text string, lang string, source string, n_chars long, kept string, _key string, name string"
