@@ -380,3 +380,17 @@ def vector_link(t: Tables) -> DataFrame:
     index = VEC.centroids(t.embeddings.select(F.col("label").alias("concept_id"), F.col("embedding").alias("vec")))
     out = VEC.link_vectors(t.embeddings.select("vec_id", "embedding"), index, "vec_id", "embedding")
     return out.select("vec_id", "concept_id", "confidence", "margin", "accepted", F.get("alternatives", F.lit(2))["score"].alias("third"))
+
+
+@query(
+    "vector_search",
+    _CENTROID_SQL
+    + """, s AS (SELECT a.vec_id, b.vec_id AS concept_id, list_inner_product(a.v, b.v) AS sim FROM unit a, unit b),
+  r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, concept_id) AS rank FROM s)
+  SELECT vec_id, concept_id, round(sim, 4) AS similarity, rank::INTEGER AS rank FROM r WHERE rank <= 5""",
+)
+def vector_search(t: Tables) -> DataFrame:
+    """The five nearest of all vectors for each of them, by inverted lists."""
+    index = VEC.build_lists(t.embeddings.select(F.col("vec_id").alias("concept_id"), F.col("embedding").alias("vec")))
+    found = VEC.search_lists(t.embeddings, index, "vec_id", "embedding", 5)
+    return found.select("vec_id", "concept_id", F.round("similarity", 4).alias("similarity"), "rank")
