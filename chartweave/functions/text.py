@@ -151,18 +151,6 @@ def contained_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.filter(literal_array(terms), lambda t: F.contains(text, t))
 
 
-def substrings_of(c: Column, lengths: Iterable[int]) -> Column:
-    """Distinct substrings of the given lengths; turns containment into equality."""
-
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(c) - n + 1)
-        cut = F.transform(starts, lambda p: F.substring(c, p, F.lit(n)))
-        return F.when(F.length(c) >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    parts = [of(n) for n in lengths]
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
-
-
 def title_case(c: Column) -> Column:
     """First letter of every word run upper, the rest lower."""
     return F.array_join(

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartweave import fixed_values as V
-from chartweave.functions.text import strip, substrings_of
+from chartweave.functions.text import strip
 from chartweave.operators.attributes import dossier_attributes, filename_attributes, resolve_attributes
+from chartweave.operators.containment import contained
 from chartweave.scale import lookup_join, pick_first
 
 
@@ -135,8 +136,8 @@ def match_dossiers(batch: DataFrame, dossiers: DataFrame, row_id: str = "row_id"
     """R7, matching half: ``(row_id, dossier_id)``.
 
     By dossier number first; otherwise the first dossier whose name contains the
-    row's name, ignoring case. Containment is an equality join on name substrings
-    of the batch's name lengths, so only true matches are ever produced.
+    row's name, ignoring case: the batch's names make automata of bounded size, which
+    every dossier name passes once, so only true matches are ever produced.
     """
     numbered = batch.where(F.length("dossier_number") > 0).select(row_id, "dossier_number")
     by_number = numbered.join(
@@ -145,12 +146,8 @@ def match_dossiers(batch: DataFrame, dossiers: DataFrame, row_id: str = "row_id"
     open_rows = batch.join(by_number.select(row_id), row_id, "left_anti").select(
         row_id, F.lower("full_name").alias("_needle")
     )
-    lengths = [
-        r["n"] for r in open_rows.select(F.length("_needle").alias("n")).where("n > 0").distinct().collect()
-    ]
-    parts = dossiers.select(
-        F.col("id").alias("dossier_id"), F.explode(substrings_of(F.lower("full_name"), sorted(lengths))).alias("_needle")
-    ).groupBy("_needle").agg(F.min("dossier_id").alias("dossier_id"))
+    named = dossiers.select(F.col("id").alias("dossier_id"), F.lower("full_name").alias("_name"))
+    parts = contained(named, F.col("_name"), ["dossier_id"], open_rows, "_needle").groupBy("_needle").agg(F.min("dossier_id").alias("dossier_id"))
     by_name = open_rows.join(parts, "_needle").select(row_id, "dossier_id")
     return by_number.select(row_id, "dossier_id").unionByName(by_name)
 

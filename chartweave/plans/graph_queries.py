@@ -222,3 +222,31 @@ def first_alias(t: Tables) -> DataFrame:
         "alias string, disease_id string, ord int",
     )
     return R.match_alias(t.documents.select("doc_id", "text"), aliases).select("doc_id", "disease_id")
+
+
+_BENCH_TERMS_SQL = "terms AS (SELECT w AS alias, row_number() OVER (ORDER BY length(w) DESC, w) - 1 AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark))"
+
+
+def _bench_terms(t: Tables) -> DataFrame:
+    """Every word of four or more letters of the benchmark, longest first."""
+    words = t.benchmark.select(F.explode(F.expr("regexp_extract_all(lower(text), '[a-z]{4,}', 0)")).alias("alias")).distinct()
+    return words.select("alias", F.concat(F.lit("W:"), "alias").alias("disease_id"), F.struct(-F.length("alias"), "alias").alias("ord"))
+
+
+@query(
+    "alias_table",
+    f"""WITH {_BENCH_TERMS_SQL} SELECT doc_id, (SELECT 'W:' || arg_min(alias, ord) FROM terms WHERE contains(lower(text), alias)) AS disease_id FROM documents""",
+)
+def alias_table(t: Tables) -> DataFrame:
+    """G9 with a large alias table."""
+    return R.match_alias(t.documents.select("doc_id", "text"), _bench_terms(t)).select("doc_id", "disease_id")
+
+
+@query(
+    "name_contained",
+    f"""WITH {_BENCH_TERMS_SQL} SELECT DISTINCT doc_id, 'W:' || alias AS disease_id FROM documents JOIN terms ON contains(lower(text), alias)""",
+)
+def name_contained(t: Tables) -> DataFrame:
+    """G8 with containment anywhere."""
+    terms = _bench_terms(t).select(F.col("alias").alias("term"), "disease_id")
+    return R.name_mentions(t.documents, terms, "text", "doc_id", compat=True)
