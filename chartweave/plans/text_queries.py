@@ -263,6 +263,43 @@ def sentences(t: Tables) -> DataFrame:
     )
 
 
+_ABBREVIATIONS_SQL = r"""
+tk AS (SELECT regexp_replace(regexp_replace(unnest(string_split_regex(lower(text), '\s+')), '^[^\p{L}0-9]+', ''), '[^\p{L}0-9.]+$', '') AS t FROM documents),
+ty AS (SELECT CASE WHEN regexp_matches(t, '[^.]\.$') THEN left(t, length(t) - 1) ELSE t END AS type, regexp_matches(t, '[^.]\.$')::INT AS e FROM tk),
+ct AS (SELECT type, sum(e)::BIGINT AS k, sum(1 - e)::BIGINT AS n FROM ty WHERE regexp_matches(type, '\p{L}') GROUP BY type),
+pt AS (SELECT sum(k)::DOUBLE / sum(k + n) AS p FROM ct),
+ab AS (SELECT type, k, n, 2 * (k * ln(0.99::DOUBLE) + n * ln(1 - 0.99::DOUBLE) - k * ln(p) - n * ln(1 - p)) * exp(-length(replace(type, '.', '')))
+  * (length(type) - length(replace(type, '.', '')) + 1) * pow(length(replace(type, '.', '')), -n::DOUBLE) AS score FROM ct, pt WHERE k > 0),
+abb AS MATERIALIZED (SELECT * FROM ab WHERE score >= 0.3)"""
+
+
+@query("abbreviations", f"WITH {_ABBREVIATIONS_SQL} SELECT type, k AS with_period, n AS without, round(score, 4) AS score FROM abb")
+def abbreviations(t: Tables) -> DataFrame:
+    """Abbreviations learnt from all documents."""
+    found = segments.abbreviations(t.documents)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query(
+    "learned_sentences",
+    rf"""WITH {_ABBREVIATIONS_SQL},
+s AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_SENTENCE}')) AS x, generate_subscripts(regexp_extract_all(text, '{SQL_SENTENCE}'), 1) AS i FROM documents),
+l AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(lower(regexp_extract(x, '(\S+)\s*$', 1)), '^[^\p{{L}}0-9]+', ''), '[^\p{{L}}0-9.]+$', ''), '^(.*[^.])\.$', 1) AS type FROM s),
+b AS (SELECT l.*, abb.type IS NOT NULL AS goes_on FROM l LEFT JOIN abb ON abb.type = l.type AND l.type <> ''),
+g AS (SELECT *, sum(1 - coalesce(before, false)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, lag(goes_on) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM b)),
+m AS (SELECT doc_id, g, sum(length(x)) AS n, string_agg(x, '' ORDER BY i) AS x FROM g GROUP BY doc_id, g)
+SELECT doc_id, count(*) AS n_sentences, max(n)::BIGINT AS longest, md5(string_agg(x, '|' ORDER BY g)) AS digest FROM m GROUP BY doc_id""",
+)
+def learned_sentences(t: Tables) -> DataFrame:
+    """E1 with abbreviations learnt from the documents."""
+    known = segments.abbreviations(t.documents)
+    rows = segments.learned_sentences(t.documents, known, "text", ("doc_id",))
+    ordered = F.array_sort(F.collect_list(F.struct("sentence_id", "sentence")))
+    return rows.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.max(F.length("sentence")).cast("long").alias("longest"), ordered.alias("o")
+    ).select("doc_id", "n_sentences", "longest", F.md5(F.array_join("o.sentence", "|").cast("binary")).alias("digest"))
+
+
 @query(
     "chunk_pack",
     f"""

@@ -1,5 +1,6 @@
 """Micro fixtures for texts, personal data, segments and negation."""
 
+import math
 import random
 import re
 
@@ -266,3 +267,59 @@ def test_overlap_fusion_and_dedup(spark):
     assert sorted(r.seq for r in entities.dedup_mentions(d).collect()) == [0, 2, 3]
     assert [r.seq for r in entities.dedup_mentions(d, longest=True, min_chars=3).collect()] == [2]
     assert [r.seq for r in entities.dedup_mentions(d, longest=True, min_chars=3, hot_keys=True).collect()] == [2]
+
+
+def _punkt(texts, least=0.3):
+    """Abbreviations by plain counting."""
+    counts = {}
+    for text in texts:
+        for tok in re.split(r"\s+", (text or "").lower()):
+            tok = re.sub(r"[^\w.]+$", "", re.sub(r"^[^\w]+", "", tok))
+            ends = re.search(r"[^.]\.$", tok) is not None
+            kind = tok[:-1] if ends else tok
+            if any(c.isalpha() for c in kind):
+                k, n = counts.get(kind, (0, 0))
+                counts[kind] = (k + ends, n + (not ends))
+    p = sum(k for k, _ in counts.values()) / sum(k + n for k, n in counts.values())
+    out = {}
+    for kind, (k, n) in counts.items():
+        size, inner = len(kind.replace(".", "")), kind.count(".")
+        ratio = 2 * (k * math.log(0.99) + n * math.log(0.01) - k * math.log(p) - n * math.log(1 - p))
+        score = ratio * math.exp(-size) * (inner + 1) * size**-n
+        if k and score >= least:
+            out[kind] = round(score, 6)
+    return out
+
+
+def test_learned_abbreviations_and_sentences(spark):
+    word = ["fever", "cough", "meals", "sleep", "early", "sore", "left", "calm", "weak", "pain"]
+    texts = [
+        f"Seen by Dr. Martin with {word[i % 10]} and {word[(i + 3) % 10]}. The boy (p.ex. at night) has {word[(i + 1) % 10]}, e.g. after {word[(i + 7) % 10]}. Mr. Roy saw {word[(i + 4) % 10]}. He felt {word[(i + 5) % 10]}."
+        for i in range(30)
+    ]
+    texts += ["Dose was 5 mg. Then nothing.", None, "", "One. Two. One two three early and left a lot.", "No end here at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "note_id int, text string")
+    known = segments.abbreviations(docs)
+    got = {r.type: round(r.score, 6) for r in known.collect()}
+    assert got == pytest.approx(_punkt(texts)) and {"dr", "mr", "p.ex", "e.g"} <= set(got) and not set(word) & set(got)
+    plain = {}
+    for r in segments.sentences(docs).orderBy("note_id", "sentence_id").collect():
+        plain.setdefault(r.note_id, []).append(r.sentence)
+    want = []
+    for note, own in plain.items():
+        merged = []
+        for s in own:
+            last = re.search(r"([^\s(]+)\.\s*$", merged[-1]) if merged else None
+            if last and last[1].lower() in got:
+                merged[-1] += s
+            else:
+                merged.append(s)
+        at = 0
+        for n, s in enumerate(merged):
+            want.append((note, n, at, at + len(s), s))
+            at += len(s)
+    for rows in (100, 1):
+        found = segments.learned_sentences(docs, known, literal_rows=rows)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert segments.learned_sentences(docs, known.limit(0)).count() == sum(map(len, plain.values()))
+    assert segments.abbreviations(docs.limit(0)).count() == 0
