@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +55,13 @@ def universe(pages: DataFrame, lengths: list[int]) -> DataFrame:
     ).distinct().select("domain", F.explode("starts").alias("start")).select(F.concat("domain", "start").alias("key")).distinct()
 
 
-def positions(keys: list[str], level: int, bits: int) -> np.ndarray:
+def positions(keys: list[str], level: int, bits: int, hashes: int = HASHES) -> np.ndarray:
     """Filter bits of every key at a level: double hashing of two halves of one hash."""
     from xxhash import xxh64_intdigest
 
     own = np.array([xxh64_intdigest(k, level) for k in keys], np.uint64)
     first, step = own >> np.uint64(32), (own & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-    return (first[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
+    return (first[:, None] + np.arange(hashes, dtype=np.uint64) * step[:, None]) % np.uint64(bits)
 
 
 @dataclass
@@ -69,9 +70,10 @@ class Cascade:
 
     levels: list[np.ndarray] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
+    hashes: list[int] = field(default_factory=list)
 
     def passes(self, keys: list[str], level: int) -> np.ndarray:
-        at = positions(keys, level, self.sizes[level])
+        at = positions(keys, level, self.sizes[level], self.hashes[level])
         words = self.levels[level][(at >> np.uint64(6)).astype(np.int64)]
         return ((words >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1) if len(keys) else np.zeros(0, bool)
 
@@ -97,37 +99,50 @@ def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     return keys.mapInArrow(run, "key string")
 
 
-def _filter_words(keys: DataFrame, level: int, bits: int) -> np.ndarray:
-    """The bits of ``keys``, or-ed map-side; at most one row per 64 bits comes back."""
+def _filter_words(keys: DataFrame, level: int, bits: int, hashes: int) -> np.ndarray:
+    """The bits of ``keys``, or-ed map-side; two columns with one number per 64 bits come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(positions(batch.column(0).to_pylist(), level, bits).astype(np.int64))
+            at = np.unique(positions(batch.column(0).to_pylist(), level, bits, hashes).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
     word = keys.mapInArrow(run, "at long").groupBy(F.floor(F.col("at") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")
     )
+    found = word.toArrow()
     words = np.zeros(-(-bits // 64), np.uint64)
-    for r in word.collect():
-        words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return words
 
 
+def width(inside: int, outside: int, least: int = BITS) -> tuple[int, int]:
+    """Bits and hashes of a key, so that about half as many of ``outside`` other keys pass as there are inside.
+
+    They grow with the logarithm of other keys to one inside, so that the filters of
+    all levels together stay in proportion to the listed keys.
+    """
+    hashes = max(HASHES, ceil(log2(max(1, 2 * outside / inside))))
+    return (least, HASHES) if hashes == HASHES else (max(least, ceil(hashes / log(2))), hashes)
+
+
 def build_cascade(listed: DataFrame, known: DataFrame, bits: int = BITS) -> Cascade:
     """A cascade for the ``key`` values of ``listed`` that is exact on ``known``.
 
     Level by level the keys of the other side that pass are encoded next, until none
-    pass. Each level is written once and is a fraction of the one before.
+    pass. The first level is wide enough for the complete key universe (:func:`width`),
+    so that no later one holds more keys than are listed. Each is written once.
     """
     cascade = Cascade()
     inside = materialise(known.join(listed, "key", "left_semi"))
     outside = materialise(known.join(listed, "key", "left_anti"))
     n = inside.count()
     while n:
-        size = max(64, bits * n)
-        cascade.levels.append(_filter_words(inside, len(cascade.levels), size))
+        own, hashes = width(n, outside.count(), bits)
+        size = max(64, own * n)
+        cascade.levels.append(_filter_words(inside, len(cascade.levels), size, hashes))
         cascade.sizes.append(size)
+        cascade.hashes.append(hashes)
         inside, outside = materialise(_passing(outside, cascade, len(cascade.levels) - 1)), inside
         n = inside.count()
     return cascade

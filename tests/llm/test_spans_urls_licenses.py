@@ -153,6 +153,19 @@ def brute_judge(url):
     return host, path, rule, verdict or ("block" if host == "spam.com" or host.endswith(".spam.com") else "allow")
 
 
+def test_filters_stay_in_proportion_to_the_listed_keys(spark):
+    """A universe a thousand times the list: every level is within a stated size and membership is exact."""
+    known = spark.range(60_000).selectExpr("concat('host', id, '.example/') AS key")
+    listed = spark.range(0, 60_000, 1000).selectExpr("concat('host', id, '.example/') AS key")
+    cascade = urls.build_cascade(listed, known)
+    bits, hashes = urls.width(60, 59_940)
+    assert hashes == 11 and bits == 16
+    assert cascade.sizes[0] == 60 * bits and all(size <= 60 * bits for size in cascade.sizes)
+    keys = [r.key for r in known.collect()]
+    want = {f"host{i}.example/" for i in range(0, 60_000, 1000)}
+    assert {k for k, hit in zip(keys, cascade.listed(keys), strict=True) if hit} == want
+
+
 @pytest.mark.parametrize(("bits", "cascade_keys"), [(10, 100), (1, 100), (2, 1)])
 def test_urls_equal_brute_force(spark, bits, cascade_keys):
     rows = [(n % 9 or None, u, "x", None) for n, u in enumerate(URLS)] + [(3, f"http://h{n}.net/p{n}", None, None) for n in range(60)] + [(3, "http://h1.net/p1", None, None)]
