@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from chartweave.llm.common import filter_texts, row_key, share, small_batches
 
-#: Rows per language that are learnt from at most, and their longest text. With these the sample is bounded.
-SAMPLE_ROWS, SAMPLE_CHARS = 300, 20_000
+#: Rows per language that are learnt from at most, the characters of each, and the languages. With these the sample is bounded.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LANGS = 300, 20_000, 200
 #: Every fifth document, by a checksum of its id, is held out.
 FOLDS = 5
 #: Hash buckets, embedding width, subword lengths in bytes (with the spaces around a word).
@@ -92,7 +92,9 @@ class Predictor:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, and whether it is rejected."""
-        found = self.logits(text) if self.model.langs else None
+        if not self.model.langs:
+            return UNKNOWN, 0.0, letters_of(text) is None
+        found = self.logits(text)
         if found is None:
             return UNKNOWN, 0.0, True
         share = softmax(found[None, :] / self.model.temperature)[0]
@@ -171,27 +173,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model of a bounded sample: per language the ``rows`` documents of least id hash, of at most ``chars`` characters.
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS) -> Model:
+    """A model of a bounded sample: of the ``langs`` most frequent languages the ``rows`` texts each of least id hash.
 
-    Only documents that are not held out and have a language and a text are learnt
-    from. Map tasks ship at most ``rows`` ids per language each.
+    Of a text of more than ``chars`` characters that many are learnt from, from a
+    place that its hash chooses. Only documents that are not held out and have a
+    language and a text are learnt from; rows that repeat id and text count once. Map
+    tasks ship at most ``rows`` ids per language each.
     """
-    open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.char_length("text") <= chars))
-    own = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = open_rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", F.row_number().over(own)).where(
-        F.col("n") <= rows
-    ).select("doc_id").distinct()
-    sample = open_rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    found = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
+    open_rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", *row_key())
+    names = [r.lang for r in open_rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()]
+    own = Window.partitionBy("lang").orderBy("h", "doc_id", "text_key")
+    chosen = open_rows.where(F.col("lang").isin(names)).select("lang", "doc_id", "text_key", F.xxhash64("doc_id").alias("h")).withColumn(
+        "n", F.row_number().over(own)
+    ).where(F.col("n") <= rows).select("lang", "doc_id", "text_key").distinct()
+    part = F.substring("text", 1 + F.pmod("text_key", F.greatest(F.char_length("text") - chars + 1, F.lit(1))).cast("int"), F.lit(chars))
+    # At most rows times langs ids are broadcast and as many parts of texts collected.
+    sample = open_rows.join(F.broadcast(chosen), ["lang", "doc_id", "text_key"], "left_semi").select("lang", "doc_id", "text_key", part.alias("text"))
+    found = sorted(sample.dropDuplicates(["lang", "doc_id", "text_key"]).collect(), key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Language, score and rejection of every whole text, in one pass without a shuffle.
 
-    A null text, or one without letters, is ``und`` with score 0 and rejected; so is
-    everything if nothing could be learnt. Repeated rows and null ids are predicted
+    A null text, or one without letters, is ``und`` with score 0 and rejected; if nothing
+    could be learnt, any other text is ``und`` with score 0 and not rejected. Repeated rows and null ids are predicted
     like any other; other columns are ignored. Returns :data:`PREDICTED`.
     """
     small_batches(docs.sparkSession)

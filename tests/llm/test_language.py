@@ -39,10 +39,10 @@ def test_subwords_equal_brute_force_in_any_stretches(monkeypatch):
 
 def test_learns_without_held_out_rows_and_rejects_what_has_no_letter(spark):
     rows = _rows() + [(1000, None, "en", "x"), (1001, "", None, None), (1002, "12 ½ ² -- !", "de", None), (None, EN, None, None),
-                      (3, EN, None, None), (3, EN, None, None), (1004, DE + " x" * 100_000, "xx", None), (1005, EN, "en", None)]
+                      (3, EN, None, None), (3, EN, None, None), (1006, DE + " x" * 100_000, "xx", None), (1005, EN, "en", None)]
     docs = _docs(spark, rows)
     model = l.fit(docs)
-    assert model.langs == ["de", "en"]  # the only text of xx is longer than the sample's bound
+    assert model.langs == ["de", "en", "xx"]  # of the only text of xx a part is learnt
     found = l.predict(docs, model).collect()
     assert len(found) == len(rows)
     by = {}
@@ -62,7 +62,22 @@ def test_nothing_to_learn(spark):
     empty = _docs(spark, [])
     model = l.fit(empty)
     assert l.predict(empty, model).count() == 0 and l.drop_rejected(empty, model).count() == 0
-    assert [r.lang_pred for r in l.predict(_docs(spark, [(1, EN, None, None)]), model).collect()] == ["und"]
+    some = _docs(spark, [(1, EN, None, None), (2, "12", None, None), (3, None, "en", None)])
+    assert [(r.lang_pred, r.score, r.rejected) for r in l.predict(some, model).orderBy("doc_id").collect()] == [("und", 0.0, False), ("und", 0.0, True), ("und", 0.0, True)]
+    assert [r.doc_id for r in l.drop_rejected(some, model).collect()] == [1]
+
+
+def test_sample_is_bounded_in_rows_characters_and_languages(spark, monkeypatch):
+    """Rows that repeat an id, texts beyond the bound, and more languages than are learnt."""
+    seen = {}
+    monkeypatch.setattr(l, "train", lambda texts, langs: seen.update(texts=texts, langs=langs))
+    rows = [(1, f"text {i} of one id", "en", None) for i in range(40)] + [(1, "text 0 of one id", "en", None)] * 30 + [(i, "abcdefghij" * 50, "de", None) for i in range(2, 30)]
+    rows += [(100 + i, f"word {i}", f"z{i}", None) for i in range(9)]
+    l.fit(_docs(spark, rows), rows=5, chars=30, langs=3)
+    assert sorted(set(seen["langs"])) == ["de", "en", "z0"] or len(set(seen["langs"])) == 3
+    assert all(seen["langs"].count(x) <= 5 for x in seen["langs"]) and all(len(t) <= 30 for t in seen["texts"])
+    parts = {t for t, x in zip(seen["texts"], seen["langs"], strict=True) if x == "de"}
+    assert all(t in "abcdefghij" * 50 for t in parts)
 
 
 def test_held_out_accuracy(spark):
