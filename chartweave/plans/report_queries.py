@@ -358,6 +358,42 @@ def stream_redaction(t: Tables) -> DataFrame:
     return t.spark.read.schema("doc_id long, n_values int").parquet(f"{folder}/out")
 
 
+@query(
+    "stream_dossiers",
+    "WITH " + _phi_sql(RULES)
+    + """, v AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+  k AS (SELECT source || '-' || (doc_id % 20) AS dossier_number, doc_id, 1704067200000 + (doc_id * 7919 % 80000) * 1000 AS ms, coalesce(n, 0) AS n
+    FROM documents LEFT JOIN v USING (doc_id))
+  SELECT dossier_number, count(*) AS n_reports, arg_min(CAST(doc_id AS VARCHAR), (ms, CAST(doc_id AS VARCHAR))) AS first_report, max(ms)::BIGINT AS newest_ms, sum(n)::BIGINT AS n_values
+  FROM k GROUP BY dossier_number""",
+)
+def stream_dossiers(t: Tables) -> DataFrame:
+    """T1 + R7 as a keyed stream: documents arrive in three runs of it, some newest first,
+    with replays and superseded revisions in between; the dossiers equal a batch run."""
+    import uuid
+
+    from chartweave.operators import phi
+    from chartweave.streaming.dossiers import current_reports, follow_dossiers, upserted_dossiers
+
+    folder = f"{durable_folder(t.spark)}/dossiers-{uuid.uuid4().hex}"
+    k = F.col("doc_id")
+    at = F.timestamp_seconds(F.lit(1704067200) + k * 7919 % 80000)
+    notes = t.documents.select(k.cast("string").alias("note_id"), F.concat_ws("-", "source", k % 20).alias("dossier_number"), "text", at.alias("received_at"), k.alias("_k"))
+    # Older revisions: another text and a time of up to an hour before.
+    stale = notes.withColumn("text", F.lit("superseded 01/02/2003")).withColumn("received_at", F.col("received_at") - F.expr("make_interval(0, 0, 0, 0, 0, 1 + _k % 59)"))
+    arrivals = [stale.where("_k % 2 = 0"), notes, notes.where("_k % 3 = 0").unionByName(stale.where("_k % 5 = 0"))]
+    def score(rows: DataFrame) -> DataFrame:
+        clean = phi.redact(rows.withColumn("language", F.lit("x")), "text", {"x": RULES}, flags="")
+        return clean.select("dossier_number", "note_id", "at_ms", "digest", F.size("phi").cast("long").alias("n_values"))
+
+    for part in arrivals:  # every arrival restarts the stream from its checkpoint
+        part.drop("_k").write.mode("append").parquet(f"{folder}/in")
+        src = t.spark.readStream.schema(part.drop("_k").schema).parquet(f"{folder}/in")
+        follow_dossiers(src, score, f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    rows = t.spark.read.schema("dossier_number string, note_id string, at_ms long, digest string, n_values long").parquet(f"{folder}/out")
+    return upserted_dossiers(current_reports(rows), ["n_values"])
+
+
 @query("note_run")
 def note_run(t: Tables) -> DataFrame:
     """The whole plan over all documents: phrases of the benchmark are the
