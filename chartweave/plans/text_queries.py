@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartweave import fixed_values as V
@@ -466,6 +466,29 @@ def dictionary_tags(t: Tables) -> DataFrame:
     )
 
 
+@query("trained_tags")
+def trained_tags(t: Tables) -> DataFrame:
+    """E3 + E7 by a trained tagger: learnt from dictionary hits of a bounded sample outside every
+    fifth document, applied to all; per document the dictionary's spans, the model's, and those in both."""
+    from chartweave.operators import perceptron
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lexicon = bigrams(t)
+    sample = perceptron.dictionary_sample(t.documents.where(~held_out), lexicon, "term", "doc_id")
+    found = perceptron.tag_texts(t.documents, perceptron.fit(sample, ["term"]), "doc_id").select("doc_id", "start", "end", F.lit(1).alias("model"))
+    hits = tagger.tag_terms(t.documents, lexicon, "text", "term", ("doc_id",)).select("doc_id", "start", "end")
+    # Overlapping hits are one span: a hit opens one where it starts behind all earlier ends.
+    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = hits.withColumn("_run", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
+    runs = opened.withColumn("_run", F.last("_run", ignorenulls=True).over(w)).groupBy("doc_id", F.col("_run").alias("start")).agg(F.max("end").alias("end"))
+    both = runs.withColumn("gold", F.lit(1)).join(found, ["doc_id", "start", "end"], "full")
+    counts = both.groupBy("doc_id").agg(F.count("gold").alias("n_dictionary"), F.count("model").alias("n_model"), F.count_if(F.col("gold").isNotNull() & F.col("model").isNotNull()).alias("n_both"))
+    ids = t.documents.select("doc_id", held_out.alias("held_out"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_dictionary", "n_model", "n_both")]
+    return ids.join(counts, "doc_id", "left").select("doc_id", "held_out", *zero)
+
+
 #: Dictionary hits with offsets, and the greedy folds over one document's hits.
 PLACED_SQL = BIGRAM_SQL + """, placed AS (SELECT doc_id, ps[i] || ps[i + 1] || ps[i + 2] AS t, length(array_to_string(ps[1:i - 1], '')) AS s FROM dg
    WHERE ps[i] || ps[i + 1] || ps[i + 2] IN (SELECT term FROM lex))
