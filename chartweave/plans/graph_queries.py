@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from chartweave.operators import ontology as G
 from chartweave.operators import ranking as R
+from chartweave.operators import upkeep
 from chartweave.plans.registry import Tables, query
 from chartweave.plans.text_queries import BIGRAM_SQL, bigrams
 from chartweave.scale import literal_table, lookup_join
+from chartweave.session import materialise
 
 # A part's leaf concept is its brand and type; both are its parents (a diamond
 # under one root). Orders are patients with the leaves of their lines, nations are
@@ -123,6 +125,50 @@ def information_content(t: Tables) -> DataFrame:
     return ic.select("concept_id", "n", F.round("ic", 6).alias("ic"))
 
 
+# Changes: brands ending in 1 lose their leaves' types, brands ending in 2 or 3 come
+# under a new line; nations lose some leaves and gain brands of others.
+def _edge_changes(t: Tables) -> DataFrame:
+    line = F.concat(F.lit("line/"), F.substring("p_brand", -1, 1))
+    leaf = F.concat_ws("/", "p_brand", "p_type")
+    renewed = t.part.where(F.col("p_brand").rlike("[23]$"))
+    return (
+        t.part.where(F.col("p_brand").endswith("1")).select(leaf.alias("child"), F.col("p_type").alias("parent"), F.lit(-1).alias("sign"))
+        .union(renewed.select("p_brand", line, F.lit(1))).union(renewed.select("p_brand", F.lit("root"), F.lit(-1)))
+        .union(renewed.select(line, F.lit("root"), F.lit(1)))
+    )
+
+
+_RENEWED_SQL = f"""{_EDGES_SQL.split("closure(term")[0].replace("edges AS (", "edges0 AS (")}
+edges AS (SELECT * FROM (SELECT child, parent FROM edges0 EXCEPT (SELECT {_LEAF}, p_type FROM part WHERE p_brand LIKE '%1' UNION SELECT p_brand, 'root' FROM part WHERE regexp_matches(p_brand, '[23]$')))
+  UNION SELECT p_brand, 'line/' || right(p_brand, 1) FROM part WHERE regexp_matches(p_brand, '[23]$') UNION SELECT 'line/' || right(p_brand, 1), 'root' FROM part WHERE regexp_matches(p_brand, '[23]$')),
+closure(term{_EDGES_SQL.split("closure(term")[1]}"""
+_REPROFILED_SQL = _PROFILES_SQL.replace("profiles AS (", "profiles0 AS (").replace(
+    "reach AS (",
+    """profiles AS (SELECT * FROM (SELECT disease_id, concept_id FROM profiles0 EXCEPT SELECT disease_id, concept_id FROM profiles0 WHERE length(concept_id) % 3 = 0 AND disease_id LIKE '1%')
+  UNION SELECT disease_id, split_part(concept_id, '/', 1) FROM profiles0 WHERE concept_id LIKE '%3/%' AND disease_id LIKE '%2'),
+reach AS (""",
+)
+
+
+@query("closure_changes", f"WITH RECURSIVE {_RENEWED_SQL} SELECT term, ancestor FROM closure")
+def closure_changes(t: Tables) -> DataFrame:
+    """G1 kept up to date: the closure after added and removed edges, without a rebuild."""
+    before = edges(t)
+    return upkeep.update_closure(before, G.ancestor_closure(before), _edge_changes(t))[1]
+
+
+@query("content_changes", f"WITH RECURSIVE {_RENEWED_SQL}, {_REPROFILED_SQL} SELECT concept_id, n, CAST(round(ic, 6) AS DOUBLE) AS ic FROM ic")
+def content_changes(t: Tables) -> DataFrame:
+    """G3 kept up to date: information content after changes of edges and annotations."""
+    p = materialise(profiles(t).select("disease_id", "concept_id"))
+    gone = p.where((F.length("concept_id") % 3 == 0) & F.col("disease_id").startswith("1")).withColumn("sign", F.lit(-1))
+    added = p.where(F.col("concept_id").contains("3/") & F.col("disease_id").endswith("2")).select(
+        "disease_id", F.substring_index("concept_id", "/", 1).alias("concept_id"), F.lit(1).alias("sign")
+    )
+    after = upkeep.Ontology.build(edges(t), p).changed(_edge_changes(t), gone.unionByName(added))
+    return after.information_content().select("concept_id", "n", F.round("ic", 6).alias("ic"))
+
+
 @query(
     "concept_similarity",
     f"""WITH RECURSIVE {_EDGES_SQL}, {_PROFILES_SQL}, lv AS (SELECT DISTINCT concept_id FROM profiles)
