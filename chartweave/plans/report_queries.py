@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartweave.operators import reports as R
+from chartweave.operators.search_index import SearchIndex
 from chartweave.plans.derived import charts
 from chartweave.plans.registry import Tables, query
 from chartweave.plans.text_queries import RULES, _phi_sql, bigrams
@@ -66,6 +67,21 @@ def document_search(t: Tables) -> DataFrame:
     return R.search(t.documents, "EDre", ["text", "source"]).select("doc_id", "source")
 
 
+SEARCHED = ["EDre", "urgent", " the ", "example", "licen_e", "zq", "no such words", "Th%ou on"]
+
+
+@query(
+    "indexed_search",
+    " UNION ALL ".join(f"SELECT '{q.strip()}' AS query, doc_id FROM documents WHERE text ILIKE '%{q.strip()}%' OR source ILIKE '%{q.strip()}%' OR lang ILIKE '%{q.strip()}%'" for q in SEARCHED),
+)
+def indexed_search(t: Tables) -> DataFrame:
+    """R2 by posting lists: several searches of the documents at once, over an index written before."""
+    import uuid
+
+    index = SearchIndex.build(t.documents, f"{durable_folder(t.spark)}/search-{uuid.uuid4().hex}", "doc_id", ["text", "source", "lang"])
+    return index.search(SEARCHED)
+
+
 @query(
     "facet_filter",
     f"WITH {_DOSSIER_SQL} SELECT id, full_name FROM dos WHERE principal_diagnosis = 'BUILDING' AND gender = 'F' AND created_at >= TIMESTAMP '2023-11-20' AND created_at <= TIMESTAMP '2023-12-31 23:59:59'",
