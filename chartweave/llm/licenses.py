@@ -28,6 +28,52 @@ TEMPLATES = {
     'gnu <<beginOptional>>lesser<<endOptional>> general public license version <<var;name="version";match="[23]";words="1..1">> '
     '<<beginOptional>>or <<beginOptional>>at your option any<<endOptional>> later<<endOptional>>',
     "notice:mit": '<<var;name="how";match="released|licensed|distributed";words="1..1">> under the mit license',
+    "header:agpl": 'you can redistribute it and or modify it under the terms of <<beginOptional>>version '
+    '<<var;name="version";match="[0-9]+";words="1..2">> of<<endOptional>> the gnu affero general public license as '
+    'published by the free software foundation',
+    "header:apache-2.0": 'licensed under the apache license version 2 0 the license you may not use '
+    '<<var;name="what";match="this|these";words="1..1">> <<var;name="files";match="files?";words="1..1">> except in '
+    'compliance with the license',
+    "header:gpl": 'you can redistribute it and or modify it under the terms of <<beginOptional>>version '
+    '<<var;name="version";match="[0-9]+";words="1..2">> of<<endOptional>> the gnu general public license as '
+    'published by the free software foundation',
+    "header:lgpl": 'you can redistribute it and or modify it under the terms of <<beginOptional>>version '
+    '<<var;name="version";match="[0-9]+";words="1..2">> of<<endOptional>> the gnu '
+    '<<var;name="kind";match="lesser|library";words="1..1">> general public license as published by the free '
+    'software foundation',
+    "header:mpl-2.0": 'this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not '
+    'distributed with this file you can obtain one at',
+    "notice:cc0": 'to the extent possible under law <<var;name="who";match=".+";words="1..12">> has waived all copyright and '
+    'related or <<var;name="spelling";match="neighbou?ring";words="1..1">> rights',
+    "notice:creative-commons-by": 'creative commons attribution <<var;name="version";match="[0-9]+";words="1..2">> '
+    '<<beginOptional>>international<<endOptional>> license',
+    "notice:creative-commons-by-sa": 'creative commons attribution <<var;name="spelling";match="share|sharealike";words="1..1">> '
+    '<<beginOptional>>alike<<endOptional>> <<var;name="version";match="[0-9]+";words="1..2">> '
+    '<<beginOptional>>international<<endOptional>> license',
+    "text:bsd-2": 'redistribution and use in source and binary forms with or without modification are permitted provided that the '
+    'following conditions are met <<var;name="number";match="[0-9]+";words="0..1">> redistributions of source code '
+    'must retain the above copyright notice this list of conditions and the following disclaimer '
+    '<<var;name="number";match="[0-9]+";words="0..1">> redistributions in binary form must reproduce the above '
+    'copyright notice this list of conditions and the following disclaimer in the documentation and or other '
+    'materials provided with the distribution',
+    "text:bsd-3": 'redistribution and use in source and binary forms with or without modification are permitted provided that the '
+    'following conditions are met <<var;name="number";match="[0-9]+";words="0..1">> redistributions of source code '
+    'must retain the above copyright notice this list of conditions and the following disclaimer '
+    '<<var;name="number";match="[0-9]+";words="0..1">> redistributions in binary form must reproduce the above '
+    'copyright notice this list of conditions and the following disclaimer in the documentation and or other '
+    'materials provided with the distribution <<var;name="number";match="[0-9]+";words="0..1">> neither the name of '
+    '<<var;name="holder";match=".+";words="1..12">> nor the names of '
+    '<<var;name="whose";match="its|any";words="1..1">> contributors may be used to endorse or promote products '
+    'derived from this software without specific prior written permission',
+    "text:isc": 'permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose '
+    'with or without fee is hereby granted provided that the above copyright notice and this permission notice '
+    'appear in all copies',
+    "text:mit": 'permission is hereby granted <<beginOptional>>free of charge<<endOptional>> to any person obtaining a copy of '
+    'this software and associated documentation files the software to deal in the software without restriction '
+    'including without limitation the rights to use copy modify merge publish distribute sublicense and or sell '
+    'copies of the software and to permit persons to whom the software is furnished to do so subject to the '
+    'following conditions the above copyright notice and this permission notice <<beginOptional>>including the next '
+    'paragraph<<endOptional>> shall be included in all copies or substantial portions of the software',
 }
 
 #: ASCII letters, digits and all other letters make words; A-Z are lower-cased before.

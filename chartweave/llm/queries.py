@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,6 +143,32 @@ def _license_sql() -> str:
         "notice:gpl": "(  [^ ]+ ){0,2}  is (  free   software   and   is )?  licensed   under   the   gnu (  lesser )?  general   public   license   version   [23] ",
         "notice:mit": "  (released|licensed|distributed)   under   the   mit   license ",
     }
+    # Longer wordings: words stand for themselves, #n for a number, @ for any word.
+    gnu = "you can redistribute it and or modify it under the terms of (version ([0-9]+){1,2} of )?the gnu KIND general public license as published by the free software foundation"
+    bsd = (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [0-9]? "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [0-9]? redistributions in binary form must "
+        "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+    )
+    number = "(  [0-9]+ )"
+    wordings = {
+        "header:agpl": gnu.replace("KIND", "affero"), "header:gpl": gnu.replace("KIND ", ""), "header:lgpl": gnu.replace("KIND", "(lesser|library)"),
+        "header:apache-2.0": "licensed under the apache license version #2 #0 the license you may not use (this|these) (file|files) except in compliance with the license",
+        "header:mpl-2.0": "this source code form is subject to the terms of the mozilla public license v #2 #0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        "notice:cc0": "to the extent possible under law @{1,12} has waived all copyright and related or (neighboring|neighbouring) rights",
+        "notice:creative-commons-by": "creative commons attribution [0-9]+{1,2} (international)? license",
+        "notice:creative-commons-by-sa": "creative commons attribution (share|sharealike) (alike)? [0-9]+{1,2} (international)? license",
+        "text:bsd-2": bsd,
+        "text:bsd-3": bsd + " [0-9]? neither the name of @{1,12} nor the names of (its|any) contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "text:isc": "permission to use copy modify and (or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "text:mit": "permission is hereby granted (free of charge)? to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+        "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is "
+        "furnished to do so subject to the following conditions the above copyright notice and this permission notice (including the next paragraph)? shall be included in all copies or substantial portions of the software",
+    }
+    for label, wording in wordings.items():
+        tight = wording.replace("([0-9]+)", "N").replace("[0-9]+", "N").replace("[0-9]?", "N?").replace(" ", "~")
+        spaced = re.sub(r"#([0-9])|([a-z]+)", lambda m: f"  {m[1] or m[2]} ", tight)
+        patterns[label] = spaced.replace("~", "").replace("@", "(  [^ ]+ )").replace("N", number)
     notices = [f"CASE WHEN regexp_matches(j, '{p}') THEN '{label}' END" for label, p in patterns.items()]
     names = "array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ',')"
     return f"""

@@ -119,6 +119,49 @@ def test_automaton_wording_and_faults():
             licenses.compile_template(bad)
 
 
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source "
+    "code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list "
+    "of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+LICENCES = [
+    (_GNU.format("Affero "), "header:agpl", "redistribute"), (_GNU.format(""), "header:gpl", "modify"), (_GNU.format("Lesser "), "header:lgpl", "published"),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "header:apache-2.0,notice:apache-2.0", "apache"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http", "header:mpl-2.0", "subject"),
+    ("To the extent possible under law, Ann of Example has waived all copyright and related or neighboring rights to it", "notice:cc0", "waived"),
+    ("a Creative Commons Attribution 4.0 International License", "notice:creative-commons-by", "attribution"),
+    ("a Creative Commons Attribution-ShareAlike 3.0 License", "notice:creative-commons-by-sa", "commons"),
+    (_BSD, "text:bsd-2", "retain"),
+    (_BSD + " 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "text:bsd-2,text:bsd-3", "reproduce"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "text:isc", "fee"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "text:mit", "merge"),
+]
+
+
+def test_licence_texts_and_altered_ones(spark, tmp_path):
+    """Every text has its labels, and none of them with one mandatory word changed; the SQL agrees."""
+    import re
+
+    from chartweave.llm.queries import LLM_QUERIES
+
+    rows = [(n, f"Intro. {t} Outro.", None, None) for n, (t, _, _) in enumerate(LICENCES)]
+    rows += [(100 + n, re.sub(rf"\b{word}\b", "changed", t, flags=re.I), None, None) for n, (t, _, word) in enumerate(LICENCES)]
+    docs = _docs(spark, rows)
+    method = {r.doc_id: ",".join(x for x in r.labels.split(",") if ":" in x) for r in licenses.scan(docs).collect()}
+    assert method == {n: LICENCES[n][1] if n < 100 else "" for n in method} and len(method) == 2 * len(LICENCES)
+    duckdb = pytest.importorskip("duckdb")
+    docs.select("doc_id", "text").toPandas().to_parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
+    cur = con.execute(LLM_QUERIES["op10_license_scan"][1])
+    names = [c[0] for c in cur.description]
+    want = {r[names.index("doc_id")]: r[names.index("labels")] for r in cur.fetchall()}
+    assert want == {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+
+
 def test_scan_odd_rows(spark):
     rows = [
         (1, None, None, "x"), (2, "", None, None), (3, "CC-BY cc by CC  BY", None, None), (4, "This work is licensed under the GNU General Public License, version 3.", None, None),
