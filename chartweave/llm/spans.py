@@ -17,9 +17,9 @@ from chartweave.session import materialise
 #: Sentences and words a span has at least; a sentence of ``ALONE`` words is a span of its own.
 SENTENCES, WORDS, ALONE = 2, 20, 40
 
-#: Words from which a sentence is cut at its commas, and from which a clause is cut after every word whose
-#: checksum is a multiple of ``EVERY``.
-LONG, CLAUSE, EVERY = 16, 24, 8
+#: Words from which a sentence is cut at its commas and from which a clause is cut further; words of a window,
+#: after whose word of least checksum it is cut.
+LONG, CLAUSE, WINDOW = 16, 16, 12
 
 _COMMA, _WORD = re.compile(r"[,;:]\s+"), re.compile(r"\S+\s*")
 _END = re.compile(r"[.!?]+[\"')\]»”]*\s+|\s*\n\s*")
@@ -36,12 +36,33 @@ def _cut(text: str, ends: list[int]) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def least_words(words: list[str], window: int = WINDOW) -> list[int]:
+    """Places of the words whose checksum is the least of some window of ``window`` words, ties all counting.
+
+    A window's choice depends on its own words only, so a passage chooses the same
+    words wherever it stands, at least one of every ``window`` of them.
+    """
+    sums = [zlib.crc32(w.strip().lower().encode()) for w in words]
+    out, low, last = [], -1, -1
+    for at in range(len(sums) - window + 1):
+        new = at + window - 1
+        if last < at:  # the least so far has left the window
+            low = min(sums[at : new + 1])
+            out += [k for k in range(at, new + 1) if sums[k] == low]
+            last = out[-1]
+        elif sums[new] <= low:
+            low, last = sums[new], new
+            out.append(new)
+    return out
+
+
 def sentences(text: str | None) -> list[str]:
     """Pieces of a text, each with the white space after it; together they are the text.
 
     A piece is a sentence. A long one is cut at its commas, and what is long still
-    after words chosen by their checksum. Where cuts fall depends on what stands
-    there, so a passage set into another sentence is cut as it was before.
+    after the words of :func:`least_words`. Where cuts fall depends on what stands
+    there, so a passage set into another sentence is cut as it was before but for
+    its ends.
     """
     out = []
     for sentence in _cut(text or "", [m.end() for m in _END.finditer(text or "")]):
@@ -53,30 +74,43 @@ def sentences(text: str | None) -> list[str]:
             if len(words) < CLAUSE:
                 out.append(clause)
             else:
-                out += _cut(clause, [w.end() for w in words if zlib.crc32(w[0].strip().lower().encode()) % EVERY == 0])
+                out += _cut(clause, [words[i].end() for i in least_words([w[0] for w in words])])
     return out
 
 
-def spans(pieces: list[str], least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, key) of the shortest span at every sentence.
+def spans(pieces: list[str], least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> list[tuple[int, int, memoryview]]:
+    """(first sentence, sentences, key) of the shortest spans that start and that end at every sentence.
 
-    The span at a sentence is that sentence if it has ``alone`` words, else the
-    shortest run of ``least`` or more sentences with ``words`` or more words. It
-    depends on nothing outside itself, so equal passages have equal spans. Keys are
-    words with one space between them, A-Z lower-cased.
+    A sentence of ``alone`` words is a span of its own; any other starts and ends a
+    shortest run of ``least`` or more sentences with ``words`` or more words. Every
+    longer run is a union of such spans within it, so where it is repeated they are,
+    and removing theirs removes every repeated run whole. A span depends on nothing
+    outside itself. Keys are words with one space between them, A-Z lower-cased,
+    and a line end between sentences.
     """
     keys = [p.encode().lower().split() for p in pieces]
-    upto = np.concatenate([[0], np.cumsum([len(k) for k in keys])]) if keys else np.zeros(1, int)
+    if not keys:
+        return []
+    sizes = np.array([len(k) for k in keys])
+    upto = np.concatenate([[0], np.cumsum(sizes)])
     joined = [b" ".join(k) for k in keys]
-    # The end of each span: enough words by running sums, and enough sentences.
-    ends = np.maximum(np.searchsorted(upto, upto[:-1] + words, "left"), np.arange(len(keys)) + least)
-    out = []
-    for at, end in enumerate(ends.tolist()):
-        if len(keys[at]) >= alone:
-            out.append((at, 1, joined[at]))
-        elif end <= len(keys):
-            out.append((at, end - at, b"\n".join(joined[at:end])))
-    return out
+    text = memoryview(b"\n".join(joined))
+    at_byte = np.concatenate([[0], np.cumsum([len(j) + 1 for j in joined])])
+    here = np.arange(len(keys))
+    # Where the run that starts at a sentence ends, and where the one that ends with it starts.
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + words, "left"), here + least)
+    starts = np.minimum(np.searchsorted(upto, upto[1:] - words, "right") - 1, here + 1 - least)
+    single = sizes >= alone
+    forward, backward = ~single & (ends <= len(keys)), ~single & (starts >= 0)
+    backward &= single[starts] | (ends[starts] != here + 1)  # not the forward run of its first sentence
+    first = np.concatenate([here[single], here[forward], starts[backward]])
+    last = np.concatenate([here[single] + 1, ends[forward], here[backward] + 1])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    return [
+        (a, b - a, text[x:y])
+        for a, b, x, y in zip(first.tolist(), last.tolist(), at_byte[first].tolist(), (at_byte[last] - 1).tolist(), strict=True)
+    ]
 
 
 def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -107,12 +141,16 @@ def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_128_digest
 
         for batch in batches:
+            # Documents in the order of places, so that rows are in it too and a stable sort by hash keeps it.
+            batch = batch.sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
             found = [spans(sentences(t.as_py()), least, words, alone) for t in batch.column(2)]
             repeats = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]).astype(np.int64))
-            hashes = np.array([divmod(xxh3_128_intdigest(key) >> 32, 1 << 32) for f in found for _, _, key in f], np.uint64).reshape(-1, 2)
+            digests = b"".join([xxh3_128_digest(key)[:12] for f in found for _, _, key in f])
+            hashes = np.frombuffer(digests, np.dtype([("h", ">u8"), ("g", ">u4")]))
+            hashes = np.stack([hashes["h"].astype(np.uint64), hashes["g"].astype(np.uint64)], axis=1)
             out = pa.RecordBatch.from_arrays(
                 [batch.column(0).take(repeats), batch.column(1).take(repeats),
                  pa.array([s[0] for f in found for s in f], pa.int32()), pa.array([s[1] for f in found for s in f], pa.int32()),
@@ -120,7 +158,7 @@ def span_rows(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone
                 names=["doc_id", "text_key", "at", "n", "h", "g"],
             )
             place = _places(out)
-            order = np.lexsort((*reversed(place), hashes[:, 1], hashes[:, 0]))
+            order = np.lexsort((hashes[:, 1], hashes[:, 0]))
             first = order[_runs(hashes[order, 0], hashes[order, 1])]
             known = np.zeros(len(order), bool)
             known[order] = np.logical_or.reduce([c[order] != c[first] for c in place])
@@ -158,7 +196,7 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def dedup_spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> DataFrame:
-    """Remove every piece (see :func:`sentences`) that a repeated span of ``docs`` (doc_id, text) covers, but for its first place.
+    """Remove every piece (see :func:`sentences`) that a repeated run of ``docs`` (doc_id, text) covers, but for its first place.
 
     The first place is the one of the smallest doc_id (null last), then the least
     sentence; repeats within a document go as well. A null or empty text has no
