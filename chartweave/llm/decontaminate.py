@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,41 +60,62 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, shortest: int = SEED_WORDS)
     left. The longest length is found by bisection: a match of some length holds
     one of every smaller length, so Karp-Rabin windows tell at once. Token 0 in
     ``doc`` matches nothing. Hits are compared token by token.
+
+    Places of equal windows stand in one list per window, and a place that is taken
+    never comes back, so a round passes every list once however often item and
+    document repeat a word; no list of pairs is made.
     """
     free_item, free_doc = np.ones(len(item), bool), doc != 0
     tiles: list[tuple[int, int, int]] = []
 
-    def matches(size: int) -> list[tuple[int, int]]:
+    def windows(size: int) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+        """Free windows that both sides have: the item's (start, hash) and the document's starts by hash."""
         ours, theirs = window_hashes(item, size), window_hashes(doc, size)
-        if not len(ours) or not len(theirs):
-            return []
         ours_at, theirs_at = _whole(free_item, size), _whole(free_doc, size)
         ours_at = ours_at[np.isin(ours[ours_at], theirs[theirs_at])]
         theirs_at = theirs_at[np.isin(theirs[theirs_at], ours[ours_at])]
         places: dict[int, list[int]] = {}
-        for d in theirs_at.tolist():
-            places.setdefault(int(theirs[d]), []).append(d)
-        return [
-            (i, d) for i in ours_at.tolist() for d in places.get(int(ours[i]), ())
-            if np.array_equal(item[i : i + size], doc[d : d + size])
-        ]
-
-    low, high = shortest, min(len(item), len(doc))
+        for d, h in zip(theirs_at.tolist(), theirs[theirs_at].tolist(), strict=True):
+            places.setdefault(h, []).append(d)
+        return list(zip(ours_at.tolist(), ours[ours_at].tolist(), strict=True)), places
+
+    def equal(i: int, d: int, size: int) -> bool:
+        return np.array_equal(item[i : i + size], doc[d : d + size])
+
+    def holds(size: int) -> bool:
+        ours, places = windows(size)
+        # The first place settles it but where different windows share a hash.
+        return any(equal(i, places[h][0], size) for i, h in ours) or any(equal(i, d, size) for i, h in ours for d in places[h][1:])
+
+    high = min(len(item), len(doc))
     while high >= shortest:
-        low, best, size = shortest, [], 0
+        low, size = shortest, 0
         while low <= high:
             middle = (low + high) // 2
-            if found := matches(middle):
-                best, size, low = found, middle, middle + 1
+            if holds(middle):
+                size, low = middle, middle + 1
             else:
                 high = middle - 1
-        for i, d in best:
-            if free_item[i : i + size].all() and free_doc[d : d + size].all():
-                free_item[i : i + size] = free_doc[d : d + size] = False
-                tiles.append((i, d, size))
-        high = size
-        if not best:
+        if not size:
             break
+        ours, places = windows(size)
+        waiting: dict[int, deque[int]] = {}
+        for i, h in ours:
+            # Tiles of a round have one length, so one that overlaps a window covers one of its ends.
+            if not (free_item[i] and free_item[i + size - 1]):
+                continue
+            line, passed = waiting.setdefault(h, deque(places[h])), []
+            while line:
+                d = line.popleft()
+                if not (free_doc[d] and free_doc[d + size - 1]):
+                    continue
+                if equal(i, d, size):
+                    free_item[i : i + size] = free_doc[d : d + size] = False
+                    tiles.append((i, d, size))
+                    break
+                passed.append(d)  # another window with this hash
+            line.extendleft(reversed(passed))
+        high = size
     return tiles
 
 
@@ -109,31 +131,39 @@ class BenchmarkIndex:
                 continue
             self.ids.append(item_id)
             self.tokens.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64))
-        places = [
-            (h, n, at) for n, t in enumerate(self.tokens) for at, h in enumerate(window_hashes(t, min(seed, len(t))).tolist())
-        ]
+        lengths = np.array([len(t) for t in self.tokens], np.int64)
+        # Items stand one after the other; a window's place is that of its first word among all words.
+        self.start = np.concatenate([[0], np.cumsum(lengths)])
         # Windows of items shorter than a seed have hashes of their own length.
-        self.sizes = sorted({min(seed, len(t)) for t in self.tokens})
-        hashes = np.array([p[0] for p in places], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.array([p[1] for p in places], np.int64)[order]
-        self.at = np.array([p[2] for p in places], np.int64)[order]
-
-    def candidates(self, doc: np.ndarray) -> dict[int, np.ndarray]:
-        """Items that share seeds with ``doc``, each with the places of its words that seeds cover."""
-        covered: dict[int, np.ndarray] = {}
-        for size in self.sizes:
+        self.size = np.minimum(lengths, seed)
+        windows = [window_hashes(t, n) for t, n in zip(self.tokens, self.size.tolist(), strict=True)]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *windows])
+        item = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        at = np.concatenate([np.zeros(0, np.int64), *[b + np.arange(len(w)) for b, w in zip(self.start.tolist(), windows, strict=False)]])
+        # One sorted list of hashes and places per window length.
+        self.seeds = {}
+        for size in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size[item] == size)
+            own = own[np.argsort(hashes[own], kind="stable")]
+            self.seeds[size] = hashes[own], at[own]
+
+    def candidates(self, doc: np.ndarray) -> dict[int, int]:
+        """Items that share seeds with ``doc``, each with how many of its words seeds cover."""
+        covered: dict[int, int] = {}
+        for size, (hashes, places) in self.seeds.items():
             found = np.unique(window_hashes(doc, size))
-            first = np.searchsorted(self.hashes, found, "left")
-            last = np.searchsorted(self.hashes, found, "right")
-            for a, b in zip(first[first < last].tolist(), last[first < last].tolist(), strict=True):
-                for n, at in zip(self.item[a:b].tolist(), self.at[a:b].tolist(), strict=True):
-                    if min(self.seed, len(self.tokens[n])) == size:
-                        covered.setdefault(n, np.zeros(len(self.tokens[n]), bool))[at : at + size] = True
+            first, last = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            first, count = first[first < last], (last - first)[first < last]
+            if not len(first):
+                continue
+            at = np.sort(places[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())])
+            # A window adds what the next one does not cover again; the next item's starts behind it.
+            words = np.minimum(np.diff(at, append=at[-1] + size), size)
+            item = np.searchsorted(self.start, at, "right") - 1
+            begin = np.flatnonzero(np.diff(item, prepend=-1))
+            covered.update(zip(item[begin].tolist(), np.add.reduceat(words, begin).tolist(), strict=True))
         return covered
 
-
     def held(self, text: str | None, coverage: float) -> list[tuple[int | None, int, int, int]]:
         """Items whose tiles cover enough: (item_id, words, covered words, tiles).
 
@@ -145,7 +175,7 @@ class BenchmarkIndex:
         out = []
         for n, upper in (self.candidates(doc).items() if doc.any() else ()):
             item = self.tokens[n]
-            if upper.sum() >= coverage * len(item):
+            if upper >= coverage * len(item):
                 tiles = greedy_tiles(item, doc, min(self.seed, len(item)))
                 covered = sum(t[2] for t in tiles)
                 if covered >= coverage * len(item):

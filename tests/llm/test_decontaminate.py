@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -31,6 +32,29 @@ def test_tiles_equal_brute_force(item, doc, shortest):
     assert got == brute_tiles(item, doc, shortest)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=9), max_size=4), st.lists(st.sampled_from("abcx"), max_size=16))
+def test_candidates_equal_brute_force(items, doc):
+    index = d.BenchmarkIndex([(n, " ".join(i)) for n, i in enumerate(items)], 3)
+    tokens = np.array([index.vocabulary.get(w.encode(), 0) for w in doc], np.uint64)
+    want = {}
+    for n, item in enumerate(i for i in items if i):
+        size, held = min(3, len(item)), set()
+        for at in range(len(item) - size + 1):
+            if any(doc[k : k + size] == item[at : at + size] for k in range(len(doc))):
+                held.update(range(at, at + size))
+        if held:
+            want[n] = len(held)
+    assert index.candidates(tokens) == want
+
+
+def test_one_repeated_word_makes_no_pairs():
+    index = d.BenchmarkIndex([(1, "word " * 500), (2, "word " * 400 + "other")])
+    started = time.process_time()
+    assert sorted(index.held("word " * 100_000, 0.8)) == [(1, 500, 500, 1), (2, 401, 400, 1)]
+    assert time.process_time() - started < 10
+
+
 def test_windows_compare_across_texts():
     a, b = np.array([7, 1, 2, 3], np.uint64), np.array([5, 5, 9, 1, 2, 3, 4], np.uint64)
     assert d.window_hashes(a, 3)[1] == d.window_hashes(b, 3)[3]
