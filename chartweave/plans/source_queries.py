@@ -11,7 +11,7 @@ from chartweave.functions.text import strip
 from chartweave.operators import reports as R
 from chartweave.plans.registry import Tables, query
 from chartweave.session import durable_folder
-from chartweave.sources import articles, corpora, ontology, report_files, sinks
+from chartweave.sources import archives, articles, corpora, ontology, report_files, sinks
 
 _URI = "http://purl.obolibrary.org/obo/HP_"
 _SPACE = "E' \\t\\n\\r\\f\\x0B'"
@@ -286,3 +286,21 @@ def report_upsert(t: Tables) -> DataFrame:
     name = F.concat(F.lit("f"), _key("c_custkey")).alias("filename")
     stored = t.customer.where("c_custkey % 3 <> 0 OR c_custkey % 2 = 1").select(name, F.when(F.col("c_custkey") % 2 == 1, "old").alias("dossier_id"))
     return R.upsert_reports(stored, t.customer.where("c_custkey % 2 = 0").select(name, F.lit("new").alias("dossier_id"))).select("filename", "dossier_id")
+
+
+@query(
+    "vector_archive",
+    "SELECT CAST(vec_id AS VARCHAR) AS concept_id, CAST(len(embedding) AS INTEGER) AS dims, "
+    "CAST(list_sum([CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding]) AS BIGINT) AS total, "
+    "CAST(floor(CAST(embedding[1] AS DOUBLE) * 1048576) AS BIGINT) AS first_component FROM embeddings",
+)
+def vector_archive(t: Tables) -> DataFrame:
+    """K3: all vectors written to a folder of NPZ archives and read back by ranges of rows."""
+    path = _folder(t, "vectors")
+    archives.write_vectors(t.embeddings, path, key="vec_id", vec="embedding")
+    whole = lambda x, by: F.floor(x.cast("double") * by).cast("long")
+    return archives.read_vectors(t.spark, path).select(
+        "concept_id", F.size("vec").alias("dims"),
+        F.aggregate("vec", F.lit(0).cast("long"), lambda acc, x: acc + whole(x, 1024)).alias("total"),
+        whole(F.get("vec", F.lit(0)), 1048576).alias("first_component"),
+    )
