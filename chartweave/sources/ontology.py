@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -102,15 +103,25 @@ def read_french_labels(spark: SparkSession, labels: str, synonyms: str | None =
 
 
 def read_abbreviations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(key, expansion)`` of CSV files; of equal keys the last file wins."""
-    rows = spark.read.schema("key string, expansion string").csv(paths)
-    order = F.lit(len(paths))
-    for i, p in enumerate(paths):
-        order = F.when(F.col("_metadata.file_path").endswith(p), i).otherwise(order)
-    clean = rows.select(
-        F.lower(F.trim("key")).alias("key"), F.trim("expansion").alias("expansion"),
-        F.struct(order.alias("f"), F.monotonically_increasing_id().alias("l")).alias("_o"),
-    ).where(F.length("key").between(2, 10) & (F.length("expansion") > 0))
+    """``(key, expansion)`` of CSV files or folders; of equal keys the last path wins.
+
+    Each path is a scan that carries its place in the list: the same file has several
+    spellings (``file:/``, ``file:///``), so names are not compared. In a folder the
+    last file by name wins, in a file the last line.
+    """
+
+    def rows(place: int, path: str) -> DataFrame:
+        meta = F.col("_metadata")
+        order = F.struct(
+            F.lit(place).alias("p"), meta["file_path"].alias("f"), meta["file_block_start"].alias("b"),
+            F.monotonically_increasing_id().alias("l"),
+        )
+        return spark.read.schema("key string, expansion string").csv(path).select(
+            F.lower(F.trim("key")).alias("key"), F.trim("expansion").alias("expansion"), order.alias("_o")
+        )
+
+    both = reduce(DataFrame.unionByName, [rows(i, p) for i, p in enumerate(paths)])
+    clean = both.where(F.length("key").between(2, 10) & (F.length("expansion") > 0))
     return clean.groupBy("key").agg(F.max_by("expansion", "_o").alias("expansion"))
 
 

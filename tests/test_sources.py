@@ -81,6 +81,12 @@ def test_ontology_files(spark, tmp_path):
     a = write(tmp_path / "a.csv", "BP,blood pressure\nx,too short\n")
     b = write(tmp_path / "b.csv", "bp,British Pharmacopoeia\nlonglonglonglong,no\nhr,\n")
     assert [tuple(r) for r in ontology.read_abbreviations(spark, [a, b]).collect()] == [("bp", "British Pharmacopoeia")]
+    # A small file is read after a larger one, and a name may come as file:///, as Spark lists it.
+    c = write(tmp_path / "c.csv", "".join(f"bp{i},later\n" for i in range(2000)))
+    write(tmp_path / "early.csv", "bp7,early\n")
+    files = [f"file://{tmp_path}/early.csv", f"file://{c}"]
+    assert dict(map(tuple, ontology.read_abbreviations(spark, files).collect()))["bp7"] == "later"
+    assert dict(map(tuple, ontology.read_abbreviations(spark, files[::-1]).collect()))["bp7"] == "early"
 
     calls = []
     build = lambda: calls.append(1) or spark.range(3)
