@@ -109,6 +109,21 @@ def test_scorer_reads_whole_notes_and_reports_failing_texts(spark):
     assert merged == {("a", "NAME", "Zed"), ("a", "PATIENT", "Ana"), ("c", "PATIENT", "Ana")}
 
 
+def _find_codes(texts):
+    return [[{"text": m[0], "label": "lieu", "score": 0.9, "start": m.start()} for m in re.finditer(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", x)] for x in texts]
+
+
+def test_values_at_the_edges_of_pieces_are_whole(spark):
+    rng = random.Random(5)
+    texts = ["w" * shift + " 123.456.789.123" * 60 for shift in range(24)]
+    texts += ["".join(rng.choice(["1.22.333.44", "10.200.3.4 ", " ", "word", "\n", "abcdefghijklm"]) for _ in range(200)) for _ in range(20)]
+    texts += ["w" * shift + "x".join(["123.45.67.189"] * 60) for shift in range(14)]
+    notes = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "note_id string, text string")
+    spans = phi.score_phi(notes, _find_codes, chunk_chars=200, overlap=60)
+    got = sorted((int(r.note_id), r.start, r.value) for r in spans.collect())
+    assert got == sorted((i, s["start"], s["text"]) for i, t in enumerate(texts) for s in _find_codes([t])[0])
+
+
 def test_notes_without_rules_or_spans_can_be_dropped_or_refused(spark):
     notes = spark.createDataFrame([("a", "raw", "en")], "note_id string, text string, language string")
     assert phi.redact(notes).first().clean_text == "raw" and phi.redact(notes, unruled="drop").first().clean_text is None
