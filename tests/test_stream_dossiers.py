@@ -68,3 +68,16 @@ def test_state_ends_with_the_watermark(spark, tmp_path):
     # A newer revision of a report that left the state is a change like any other.
     again = arrive(spark, [("a", "D1", "new text", "2024-01-03 11:00:00"), (None, None, None, None)], tmp_path)
     assert {r.note_id: r.n for r in current_reports(again).collect()}["a"] == len("new text")
+
+
+def test_document_stream_reads_a_table_of_one_file_and_of_several(spark, tmp_path):
+    from chartweave.plans import report_queries  # noqa: F401  (registers the query)
+    from chartweave.plans.registry import REGISTRY
+
+    docs = spark.createDataFrame([(i, "x" * 60 + f" a{i}@b.org") for i in range(9)], "doc_id long, text string")
+    (tmp_path / "one").mkdir()
+    docs.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    for kind in ("one", "many"):
+        got = REGISTRY["stream_redaction"][0](spark, f"{tmp_path}/{kind}").collect()
+        assert sorted(tuple(r) for r in got) == [(i, 1) for i in range(9)]
