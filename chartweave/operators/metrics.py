@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chartweave import fixed_values as V
 from chartweave.scale import lookup_join
+from chartweave.session import materialise
 
 
 def extracted_concepts(entities: DataFrame, numeric: DataFrame | None = None, key: str = "note_id") -> DataFrame:
@@ -42,22 +43,25 @@ def semantic_matches(
     Pass 1 gives an expected id the smallest equal or equivalent extracted id; one
     extracted id may serve several. Pass 2 walks the leftovers in id order and
     gives each an unused extracted id related within the ``near`` ancestors, each
-    used once. Candidates come from equi-joins; only the order-dependent choice is
-    a fold over one note's candidate pairs.
+    used once. Candidates are a note's own pairs that stream past the concept tables,
+    so no id is multiplied by its relatives before a shuffle; only the order-dependent
+    choice is a fold over one note's candidate pairs.
     """
     ext = extracted.select(key, F.col("concept_id").alias("ext")).distinct()
     exp = expected.select(key, F.col("concept_id").alias("exp")).distinct()
-    same = exp.select(key, "exp", F.col("exp").alias("ext"))
+    both = exp.join(ext, key)
+    same = F.col("exp") == F.col("ext")
     if equivalence is not None:
-        table = equivalence.select(F.col("concept_id").alias("exp"), F.col("equivalent").alias("ext"))
-        same = same.unionByName(lookup_join(exp, table, "exp").select(key, "exp", "ext")).distinct()
-    first = same.join(ext, [key, "ext"]).groupBy(key, "exp").agg(F.min("ext").alias("ext"))
+        table = equivalence.select(F.col("concept_id").alias("exp"), F.col("equivalent").alias("ext")).distinct()
+        both = lookup_join(both, materialise(table.withColumn("_same", F.lit(True))), ["exp", "ext"], "left")
+        same = same | F.col("_same").isNotNull()
+    first = both.where(same).groupBy(key, "exp").agg(F.min("ext").alias("ext"))
     left_exp = exp.join(first.select(key, "exp"), [key, "exp"], "left_anti")
     left_ext = ext.join(first.select(key, "ext").distinct(), [key, "ext"], "left_anti")
     up = near.select(F.col("term").alias("exp"), F.col("ancestor").alias("ext"))
     down = near.select(F.col("ancestor").alias("exp"), F.col("term").alias("ext"))
-    related = up.union(down).distinct()
-    pairs = lookup_join(left_exp, related, "exp").join(left_ext, [key, "ext"]).groupBy(key).agg(
+    related = materialise(up.union(down).distinct())
+    pairs = lookup_join(left_exp.join(left_ext, key), related, ["exp", "ext"]).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("exp", "ext"))).alias("c")
     )
     chosen = F.aggregate(
