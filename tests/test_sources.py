@@ -134,6 +134,10 @@ def test_sinks_and_saved_outputs(spark, tmp_path):
     sinks.write_note_json(run.documents, str(tmp_path / "json"))
     one = spark.read.text(str(tmp_path / "json" / "phenopacket" / "note=n4")).first().value
     assert json.loads(one)["interpretations"] is None
+    few = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("note_id"), F.struct("id").alias("phenopacket"))
+    sinks.write_note_json(few, str(tmp_path / "dealt"))
+    files = [f.name for f in (tmp_path / "dealt" / "phenopacket").glob("note=*/part-*")]
+    assert len(files) == 40 and len({f[:10] for f in files}) > 1  # several tasks write the notes of one
     sinks.write_metrics(spark.range(1), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 1
     (tmp_path / "saved").mkdir()
