@@ -274,6 +274,27 @@ def test_tagger_finds_every_bounded_occurrence(spark):
     assert got == want
 
 
+def test_tagger_reads_a_text_once_and_tests_terms_in_place(spark):
+    rng = random.Random(10)
+    texts = [(i, "".join(rng.choice(["ab", "Cd", "é", "b", "(", "-", " ", ", "]) for _ in range(rng.choice([0, 1, 2, 60])))) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    for terms in (["ab", "ab cd", "cd", "é-b", "(ab", "b, ab"], ["ab", "ab cd", "cd-"], ["(", " "]):
+        lex = spark.createDataFrame([(t,) for t in terms], "term string")
+        want = {(i, m.start(), term) for i, t in texts if t for term in terms for m in re.finditer(r"(?=\b" + re.escape(term) + r"\b)", t.lower())}
+        for literal_terms in (0, 10_000):
+            hits = tagger.tag_terms(df, lex, keep=("id",), literal_terms=literal_terms)
+            assert {(r.id, r.start, r.term) for r in hits.collect()} == want, (terms, literal_terms)
+            assert hits._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_sentences_are_cut_once(spark):
+    df = spark.createDataFrame([(1, "One. Two e.g. three. Four")], "id int, text string")
+    known = spark.createDataFrame([("e.g",)], "type string")
+    for rows in (segments.sentences(df, "text", ("id",)), segments.learned_sentences(df, known, "text", ("id",))):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.sentence for r in rows.orderBy("sentence_id").collect()] == ["One. ", "Two e.g. three. ", "Four"]
+
+
 def test_overlap_fusion_and_dedup(spark):
     rows = [("n", "p", 0, "a", 0.9, 0, 10), ("n", "p", 1, "b", 0.8, 1, 10), ("n", "p", 2, "c", 0.7, 9, 20)]
     df = spark.createDataFrame(rows, "note_id string, category string, seq int, text string, score double, start int, end int")
