@@ -295,6 +295,16 @@ def test_sentences_are_cut_once(spark):
     assert [r.sentence for r in rows.orderBy("sentence_id").collect()] == ["One. ", "Two e.g. three. ", "Four"]
 
 
+def test_learned_sentences_of_a_long_text_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "ab cd e.g. fg. " * 30_000)], "id int, text string")
+    known = spark.createDataFrame([("e.g",)], "type string")
+    began = time.monotonic()
+    assert segments.learned_sentences(df, known, "text", ("id",)).count() == 30_000
+    assert time.monotonic() - began < 40  # 1.8 billion steps if every sentence walks the text again
+
+
 def test_overlap_fusion_and_dedup(spark):
     rows = [("n", "p", 0, "a", 0.9, 0, 10), ("n", "p", 1, "b", 0.8, 1, 10), ("n", "p", 2, "c", 0.7, 9, 20)]
     df = spark.createDataFrame(rows, "note_id string, category string, seq int, text string, score double, start int, end int")
