@@ -9,7 +9,7 @@ from chartweave.functions.dates import parse_date
 from chartweave.operators import attributes, checks
 from chartweave.plans.derived import VISITS_SQL, charts, visits
 from chartweave.plans.registry import Tables, query
-from chartweave.scale import literal_table
+from chartweave.scale import literal_table, pin
 
 
 @query(
@@ -115,7 +115,7 @@ WITH {VISITS_SQL} SELECT note_id, strftime(dob, '%Y-%m-%d') AS dob, strftime(day
 )
 def key_dates(t: Tables) -> DataFrame:
     """V9."""
-    d = visits(t).select("note_id", checks.key_dates(F.col("text")).alias("d"))
+    d = visits(t).select("note_id", pin(checks.key_dates(F.col("text"))).alias("d"))
     e = d.select("note_id", "d.dob", "d.note_date", F.explode("d.events").alias("e"))
     return e.select(
         "note_id", F.col("dob").cast("string").alias("dob"), F.col("note_date").cast("string").alias("note_date"),
@@ -133,8 +133,8 @@ WITH {VISITS_SQL}, w AS (
 @query("temporal_warnings", _TEMPORAL_SQL + "SELECT note_id, type, severity, a AS first_value, b AS second_value FROM w")
 def temporal_warnings(t: Tables) -> DataFrame:
     """V10 + V11."""
-    v = visits(t).withColumn("d", checks.key_dates(F.col("text"))).withColumn("age_said", checks.stated_age(F.col("text")))
-    w = v.select("note_id", F.explode(checks.temporal_warnings(F.col("d"), F.col("age_said"))).alias("w"))
+    v = visits(t).select("note_id", pin(checks.key_dates(F.col("text"))).alias("d"), pin(checks.stated_age(F.col("text"))).alias("age_said"))
+    w = v.select("note_id", pin(checks.temporal_warnings(F.col("d"), F.col("age_said"))).alias("w")).select("note_id", F.explode("w").alias("w"))
     attr = lambda k: F.element_at("w.attrs", F.lit(k))
     return w.select(
         "note_id", "w.type", "w.severity", F.coalesce(attr("event_date"), attr("stated_age")).alias("first_value"),
