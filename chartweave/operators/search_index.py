@@ -27,10 +27,15 @@ def text_grams(text: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(chars) - 2)
         return F.when(
             F.size(chars) >= 3,
-            F.array_distinct(F.transform(at, lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2)))),
+            F.transform(at, lambda i: F.concat(F.element_at(chars, i), F.element_at(chars, i + 1), F.element_at(chars, i + 2))),
         )
 
-    return let(F.split(F.lower(text), ""), grams)
+    def of(low: Column) -> Column:
+        # A pattern goes on by UTF-16 units: texts with pairs of them are cut into characters.
+        swift = F.regexp_extract_all(low, F.lit("(?s)(?=(...))"), F.lit(1))
+        return F.array_distinct(F.when(low.rlike(r"[\x{10000}-\x{10FFFF}]"), let(F.split(low, ""), grams)).otherwise(swift))
+
+    return let(F.lower(text), of)
 
 
 def query_grams(query: str) -> list[str]:
@@ -114,9 +119,11 @@ class SearchIndex:
             met = lookup_join(lists.distinct(), wanted, "gram").groupBy("query", "_key").agg(F.count(F.lit(1)).alias("n"))
             candidates = materialise(lookup_join(met, need, "query").where("n = need").select("query", "_key"))
             rows = lookup_join(self._texts(), candidates, "_key").withColumn("_pattern", F.concat(F.lit("%"), "query", F.lit("%")))
-            hit = F.lit(False)
+            hit, plain = F.lit(False), ~F.col("query").rlike(r"[%_\\]")
             for c in self.columns:
-                hit = hit | F.coalesce(F.ilike(F.col(c).cast("string"), F.col("_pattern")), F.lit(False))
+                whole = F.col(c).cast("string")
+                holds = F.when(plain, F.contains(F.lower(whole), F.lower("query"))).otherwise(F.ilike(whole, F.col("_pattern")))
+                hit = hit | F.coalesce(holds, F.lit(False))
             out = out.unionByName(rows.where(hit).select("query", "_key"))
         scanned = [q for q in queries if not grams[q]]
         if scanned:
