@@ -207,7 +207,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, di
 
 def ranked_orders(t: Tables, k: int = 10) -> DataFrame:
     model = R.disease_model(profiles(t), G.ancestor_closure(edges(t)))
-    return R.rank_diseases(order_leaves(t).select("note_id", "concept_id").distinct(), model, k)
+    return R.rank_diseases(order_leaves(t).select("note_id", "concept_id"), model, k)
 
 
 @query(
