@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SLOTS = 1 << 16
 #: a pair of adjacent words votes for its first and its second place.
 ROLES = ("0", "-", "+")
 PAIR_ROLES = ("1", "2")
+#: Words and pairs whose slots a task remembers, and places that are decoded at a time.
+REMEMBERED, PLACES = 1 << 18, 1 << 18
 Spans = list[tuple[int, int, str]]
 
 
@@ -37,6 +40,7 @@ def sequences(text: str | None) -> list[list[tuple[int, int]]]:
     return [s for s in out if s]
 
 
+@lru_cache(REMEMBERED)
 def word_slots(word: str, role: str) -> list[int]:
     """Feature slots of a word in a role; the empty word is the edge of a sequence."""
     low = word.lower()
@@ -45,6 +49,7 @@ def word_slots(word: str, role: str) -> list[int]:
     return [zlib.crc32(f"{role}{p}".encode()) % SLOTS for p in parts]
 
 
+@lru_cache(REMEMBERED)
 def pair_slots(first: str, second: str, role: str) -> list[int]:
     """Feature slot of two adjacent words in a role."""
     return [zlib.crc32(f"{role}{first.lower()} {second.lower()}".encode()) % SLOTS]
@@ -61,6 +66,27 @@ def place_slots(words: list[str]) -> list[np.ndarray]:
     ]
 
 
+def _by_length(emissions: list[np.ndarray], run: Callable) -> list[np.ndarray]:
+    """``run`` over sequences of a like length together, the longest first, a bounded number of places at a time."""
+    order = sorted(range(len(emissions)), key=lambda n: -len(emissions[n]))
+    out: list = [None] * len(emissions)
+    while order:
+        many = max(1, PLACES // max(1, len(emissions[order[0]])))
+        for n, found in zip(order[:many], run([emissions[n] for n in order[:many]]), strict=True):
+            out[n] = found
+        order = order[many:]
+    return out
+
+
+def _stacked(emissions: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+    """Sequences from the longest to the shortest as (place, sequence, tag), and how many reach each place."""
+    lengths = np.array([len(e) for e in emissions])
+    places = np.zeros((lengths[0], len(emissions), emissions[0].shape[1]))
+    for n, e in enumerate(emissions):
+        places[: len(e), n] = e
+    return places, [int(np.searchsorted(-lengths, -step, side="left")) for step in range(lengths[0])]
+
+
 @dataclass
 class Tagger:
     """Tags are O, then B and I of every label; ``steps[i, j]`` scores tag j after tag i, row 0 also opens a sequence."""
@@ -88,8 +114,10 @@ class Tagger:
         edged = [["", *s, ""] for s in sentences]
         known = {w: n for n, w in enumerate({w for s in edged for w in s})}
         pairs = {p: n for n, p in enumerate({p for s in edged for p in zip(s, s[1:])})}
-        votes = [np.array([self.weights[word_slots(w, r)].sum(0) for w in known]) for r in ROLES]
-        joint = [np.array([self.weights[pair_slots(*p, r)].sum(0) for p in pairs]) for r in PAIR_ROLES]
+        if not known:
+            return []
+        votes = [self.weights[np.array([word_slots(w, r) for w in known])].sum(1) for r in ROLES]
+        joint = [self.weights[np.array([pair_slots(*p, r) for p in pairs])].sum(1) for r in PAIR_ROLES]
         out = []
         for s in edged:
             at, two = np.array([known[w] for w in s]), np.array([pairs[p] for p in zip(s, s[1:])])
@@ -97,48 +125,58 @@ class Tagger:
         return out
 
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tag path of every sequence; all sequences of the list take a step at once. Ties take the smaller tag."""
-        order = sorted(range(len(emissions)), key=lambda n: -len(emissions[n]))
-        lengths = np.array([len(emissions[n]) for n in order])
-        moves, paths = self.steps + self.allowed(), [np.zeros(len(e), np.int64) for e in emissions]
-        if not order:
-            return paths
-        best = np.stack([emissions[n][0] for n in order]) + moves[0]
-        back: list[np.ndarray] = []
-        for step in range(1, lengths[0]):
-            live = int(np.searchsorted(-lengths, -step, side="left"))  # sequences longer than ``step``
-            through = best[:live, :, None] + moves
-            back.append(through.argmax(1))
-            best[:live] = through.max(1) + np.stack([emissions[n][step] for n in order[:live]])
-        for row, n in enumerate(order):
-            tag = best[row].argmax()
-            for step in range(len(paths[n]) - 1, -1, -1):
-                paths[n][step] = tag
-                if step:
-                    tag = back[step - 1][row, tag]
-        return paths
+        """Best tag path of every sequence; sequences of a like length take a step at once. Ties take the smaller tag."""
+        return _by_length(emissions, self._decode)
+
+    def _decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """Paths of sequences given from the longest to the shortest."""
+        moves = self.steps + self.allowed()
+        places, live = _stacked(emissions)
+        best, back = places[0] + moves[0], np.zeros(places.shape, np.int64)
+        for step in range(1, len(places)):
+            through = best[: live[step], :, None] + moves
+            back[step, : live[step]] = through.argmax(1)
+            best[: live[step]] = through.max(1) + places[step, : live[step]]
+        paths, tag = np.zeros(places.shape[:2], np.int64), best.argmax(1)
+        for step in range(len(places) - 1, -1, -1):
+            rows = np.arange(live[step])
+            paths[step, rows] = tag[rows]
+            tag[rows] = back[step, rows, tag[rows]]
+        return [paths[: len(e), n] for n, e in enumerate(emissions)]
 
     def certainty(self, emission: np.ndarray) -> np.ndarray:
         """Forward-backward shares of the tags at every place, the scores read as log-linear."""
+        return self._certainties([emission])[0]
+
+    def certainties(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
+        """:meth:`certainty` of every sequence."""
+        return _by_length(emissions, self._certainties)
+
+    def _certainties(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         moves = self.steps + self.allowed()
-        ahead, behind = np.zeros_like(emission), np.zeros_like(emission)
-        ahead[0] = emission[0] + moves[0]
-        for step in range(1, len(emission)):
-            ahead[step] = emission[step] + np.logaddexp.reduce(ahead[step - 1][:, None] + moves, axis=0)
-        for step in range(len(emission) - 2, -1, -1):
-            behind[step] = np.logaddexp.reduce(moves + emission[step + 1] + behind[step + 1], axis=1)
+        places, live = _stacked(emissions)
+        ahead, behind = np.zeros_like(places), np.zeros_like(places)
+        ahead[0] = places[0] + moves[0]
+        for step in range(1, len(places)):
+            n = live[step]
+            ahead[step, :n] = places[step, :n] + np.logaddexp.reduce(ahead[step - 1, :n, :, None] + moves, axis=1)
+        for step in range(len(places) - 2, -1, -1):
+            n = live[step + 1]
+            behind[step, :n] = np.logaddexp.reduce(moves + places[step + 1, :n, None] + behind[step + 1, :n, None], axis=2)
         joint = ahead + behind
-        return np.exp(joint - np.logaddexp.reduce(joint, axis=1)[:, None])
+        shares = np.exp(joint - np.logaddexp.reduce(joint, axis=2)[..., None])
+        return [shares[: len(e), n] for n, e in enumerate(emissions)]
 
     def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
         """(start, end, label, score) spans of whole texts; the score is the least share of the span's tags."""
         places = [(n, s) for n, text in enumerate(texts) for s in sequences(text)]
         scored = self.emissions([[texts[n][a:b] for a, b in s] for n, s in places])
         out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-        for (n, s), emission, path in zip(places, scored, self.decode(scored), strict=True):
-            if not path.any():
-                continue
-            share = self.certainty(emission)[np.arange(len(path)), path]
+        paths = self.decode(scored)
+        tagged = [at for at, path in enumerate(paths) if path.any()]
+        for at, shares in zip(tagged, self.certainties([scored[at] for at in tagged]), strict=True):
+            (n, s), path = places[at], paths[at]
+            share = shares[np.arange(len(path)), path]
             for first in np.flatnonzero(path % 2 == 1):
                 last = first
                 while last + 1 < len(path) and path[last + 1] == path[first] + 1:

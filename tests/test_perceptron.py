@@ -79,3 +79,13 @@ def test_learns_a_dictionary_and_marks_whole_texts(spark):
     assert (span.text, span.label, span.source) == ("acute fever", "term", "perceptron") and 0.5 < span.score <= 1
     assert P.tag_texts(table.limit(0), model).count() == 0
     assert P.fit([], ["term"]).tag(["lyme disease"]) == [[]]
+
+
+def test_sequences_decoded_together_equal_each_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = P.Tagger(("a", "b"), rng.normal(0, 1, (P.SLOTS, 5)), rng.normal(0, 1, (5, 5)))
+    emissions = [rng.normal(0, 1, (n, 5)) for n in (1, 7, 3, 3, 40, 1, 12)]
+    for places in (P.PLACES, 50):  # all at once, and a few at a time
+        monkeypatch.setattr(P, "PLACES", places)
+        for e, path, share in zip(emissions, model.decode(emissions), model.certainties(emissions), strict=True):
+            assert path.tolist() == model.decode([e])[0].tolist() and np.array_equal(share, model.certainty(e))
