@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chartweave.llm.common import let_go, row_key, small_batches
 from chartweave.llm.components import components
-from chartweave.llm.simhash import SEED, keep_first
+from chartweave.llm.simhash import SEED, fingerprint, keep_first, links
 from chartweave.session import discard, materialise
 
 #: Words of a shingle, and hundredths of the union that near copies share at least.
@@ -119,8 +119,9 @@ def similar(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percen
     return (estimate >= percent / 100 - short) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_key, n, set_key, keys, digest of every row: the size and hash of its set, its band keys and digest (null without a set)."""
+def sketches(docs: DataFrame, shingle: int = SHINGLE, marked: bool = False) -> DataFrame:
+    """doc_id, text_key, n, set_key, keys, digest, fp of every row: the size and hash of its set, its band keys and digest (null
+    without a set), and if ``marked`` the text's SimHash fingerprint."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
@@ -129,9 +130,10 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         known = WordHashes()
         for batch in batches:
-            sizes, sets, keys, digests = [], [], [], []
+            sizes, sets, keys, digests, marks = [], [], [], [], []
             for text in batch.column("text"):
                 own = shingles(text.as_py(), known, shingle)
+                marks.append(fingerprint(text.as_py()) if marked and len(own) else 0)
                 regs = registers(own) if len(own) else None
                 sizes.append(len(own))
                 sets.append(xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0)
@@ -139,11 +141,11 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 digests.append(None if regs is None else digest(regs))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(np.array(sets, np.uint64).view(np.int64)),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary())],
-                names=["doc_id", "text_key", "n", "set_key", "keys", "digest"],
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(digests, pa.binary()), pa.array(np.array(marks, np.uint64).view(np.int64))],
+                names=["doc_id", "text_key", "n", "set_key", "keys", "digest", "fp"],
             )
 
-    schema = f"doc_id {kind}, text_key long, n long, set_key long, keys array<long>, digest binary"
+    schema = f"doc_id {kind}, text_key long, n long, set_key long, keys array<long>, digest binary, fp long"
     return docs.select(*row_key(), "text").mapInArrow(run, schema)
 
 
@@ -229,6 +231,18 @@ def candidates(reps: DataFrame, percent: int = PERCENT, tile: int = TILE) -> Dat
     return tiled.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")
 
 
+def fingerprint_links(reps: DataFrame, radius: int) -> DataFrame:
+    """Possible links (a, b) that connect sets (set_key, fp) whose fingerprints differ in at most ``radius`` bits.
+
+    Pivot tables link distinct fingerprints; each stands for its sets by the smallest of them.
+    """
+    first = materialise(reps.groupBy("fp").agg(F.min("set_key").alias("set_key")))
+    near = materialise(links(first.select("fp"), radius))
+    one, two = first.select(F.col("fp").alias("a"), F.col("set_key").alias("one")), first.select(F.col("fp").alias("b"), F.col("set_key").alias("two"))
+    equal = reps.join(first.withColumnRenamed("set_key", "one"), "fp").where("set_key <> one").select(F.col("set_key").alias("a"), F.col("one").alias("b"))
+    return near.join(one, "a").join(two, "b").select(F.col("one").alias("a"), F.col("two").alias("b")).unionByName(equal)
+
+
 def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, texts: int = TEXTS, cells: int = SHINGLES) -> DataFrame:
     """Links (a, b) of ``reps`` confirmed on full sets, within the components of possible links ``coarse`` (node, root).
 
@@ -275,7 +289,7 @@ def verified(docs: DataFrame, reps: DataFrame, coarse: DataFrame, shingle: int =
 
 
 def near_groups(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, texts: int = TEXTS, cells: int = SHINGLES
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, tile: int = TILE, texts: int = TEXTS, cells: int = SHINGLES, radius: int | None = None
 ) -> DataFrame:
     """Set size and component of every row of ``docs`` (doc_id, text).
 
@@ -284,17 +298,19 @@ def near_groups(
     of all). Rows whose sets share ``percent`` hundredths of their union are linked;
     component_id is the smallest doc_id reachable, null ids aside. Null, empty and blank
     texts have no shingle and are linked with nothing. Sets too small to be similar
-    without being equal are linked by equality. Repeated rows have one set and so one
+    without being equal are linked by equality. With a ``radius`` possible links are
+    also those of SimHash fingerprints within so many bits, confirmed alike. Repeated rows have one set and so one
     component; other columns are ignored; an empty table gives an empty result.
     Returns doc_id, text_key, n, set_key, root (the component's smallest set), component_id.
     """
-    own = materialise(sketches(docs, shingle))
-    reps = materialise(own.where(F.col("n") * (100 - percent) >= percent).select("set_key", "n", "keys", "digest", "text_key").dropDuplicates(["set_key"]))
+    own = materialise(sketches(docs, shingle, radius is not None))
+    reps = materialise(own.where(F.col("n") * (100 - percent) >= percent).select("set_key", "n", "keys", "digest", "text_key", "fp").dropDuplicates(["set_key"]))
     possible = materialise(candidates(reps, percent, tile))
     let_go(docs.sparkSession)
-    coarse = materialise(components(possible))
+    marked = possible if radius is None else materialise(possible.unionByName(fingerprint_links(reps, radius)))
+    coarse = materialise(components(marked))
     discard(possible)
-    found = materialise(verified(docs, reps.drop("keys"), coarse, shingle, percent, texts, cells))
+    found = materialise(verified(docs, reps.drop("keys", "fp"), coarse, shingle, percent, texts, cells))
     let_go(docs.sparkSession)
     root = components(found).withColumnRenamed("node", "set_key")
     full = own.where("n > 0").select("doc_id", "text_key", "n", "set_key")
@@ -306,9 +322,9 @@ def near_groups(
     return full.join(named, "set_key").select(void.columns).unionByName(void)
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, radius: int | None = None) -> DataFrame:
     """One row of each group of :func:`near_groups`: the smallest doc_id's; all columns stay, and so do rows without words."""
-    grouped = materialise(near_groups(docs, shingle, percent))
+    grouped = materialise(near_groups(docs, shingle, percent, radius=radius))
     # Texts without words are no copies of each other: each row is its own group.
     alone = F.col("root").isNull()
     void = docs.where(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == "")

@@ -75,3 +75,20 @@ def test_stages_take_odd_rows(spark, stage):
     assert p.STAGES[stage][1](spark, docs.limit(0), FOLDER).count() == 0
     if stage in (1, 2):
         assert out.where("doc_id = 3").count() == 1
+
+
+def test_fingerprints_alone_find_near_copies_and_are_verified(spark, monkeypatch):
+    from chartweave.llm import minhash, simhash
+
+    words = [f"w{i * 7919 % 10007}" for i in range(1500)]
+    bits = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    base, near = " ".join(words), [" ".join([*words[:n], "other", *words[n + 1 :]]) for n in (100, 900)]
+    far = " ".join(f"v{i}" for i in range(400))
+    assert all(bits(base, t) <= simhash.RADIUS for t in near) and bits(base, far) > simhash.RADIUS
+    rows = [(4, base), (2, near[0]), (9, near[1]), (7, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    none = lambda reps, *more: reps.select(minhash.F.col("set_key").alias("a"), minhash.F.col("set_key").alias("b")).limit(0)
+    monkeypatch.setattr(minhash, "candidates", none)
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, "").collect()) == [2, 7]
+    monkeypatch.setattr(minhash, "links", lambda fps, radius: fps.crossJoin(fps.withColumnRenamed("fp", "b")).withColumnRenamed("fp", "a"))
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs, "").collect()) == [2, 7]
