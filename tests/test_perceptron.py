@@ -89,3 +89,28 @@ def test_sequences_decoded_together_equal_each_alone(monkeypatch):
         monkeypatch.setattr(P, "PLACES", places)
         for e, path, share in zip(emissions, model.decode(emissions), model.certainties(emissions), strict=True):
             assert path.tolist() == model.decode([e])[0].tolist() and np.array_equal(share, model.certainty(e))
+
+
+def test_spans_of_many_texts_equal_each_place_alone_and_take_little_time():
+    import time
+
+    rng = np.random.default_rng(7)
+    model = P.Tagger(("a", "b"), rng.normal(0, 1, (P.SLOTS, 5)), rng.normal(0, 1, (5, 5)))
+    words = ["Fever", "of", "é", "x" * 70, "Ünder_7", "y" * 200, "12", *(f"w{n}" for n in range(3000))]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 60))) + ". " + "Of, é! x\n" * int(rng.integers(0, 3)) for _ in range(40)] + [None, "", "..", " -- "]
+    for text, found in zip(texts, model.tag(texts), strict=True):
+        want = []
+        for places in P.sequences(text):
+            emission = np.array([model.weights[s].sum(0) for s in P.place_slots([text[a:b] for a, b in places])])
+            path, share = model.decode([emission])[0], model.certainty(emission)
+            for first in np.flatnonzero(path % 2 == 1):
+                last = first
+                while last + 1 < len(path) and path[last + 1] == path[first] + 1:
+                    last += 1
+                want.append((places[first][0], places[last][1], model.labels[path[first] // 2], share[np.arange(first, last + 1), path[first : last + 1]].min()))
+        assert [f[:3] for f in found] == [w[:3] for w in want] and [f[3] for f in found] == pytest.approx([w[3] for w in want])
+    much = [" ".join(rng.choice(words[7:], 400)) + "." for _ in range(500)]
+    started = time.process_time()
+    model.tag(much)
+    # Each place by itself took some four times this bound.
+    assert time.process_time() - started < 1.5
