@@ -369,3 +369,21 @@ def test_learned_abbreviations_and_sentences(spark):
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert segments.learned_sentences(docs, known.limit(0)).count() == sum(map(len, plain.values()))
     assert segments.abbreviations(docs.limit(0)).count() == 0
+
+
+def test_language_scores_lower_a_text_once_for_all_markers(spark):
+    from chartweave import fixed_values as V
+    from chartweave.operators.language import language_scores
+
+    texts = [None, "", "ÉTAT GÉNÉRAL " + "é " * 9, "le la les un une des le chat", "Chief complaint: DENIES pain", "Hospitalisation; examen clinique"]
+    notes = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "note_id int, text string")
+    scored = language_scores(notes)
+    hits = lambda t, markers: sum(m in (t or "").lower() for m in markers)
+    for r in scored.collect():
+        low = (r.text or "").lower()
+        accents = sum(c in V.FRENCH_ACCENTS[1:-1] for c in low) > V.ACCENT_LIMIT
+        articles = sum(w in ("le", "la", "les", "un", "une", "des", "du", "au", "aux") for w in low.split()) > V.ARTICLE_LIMIT
+        assert r.fr_score == hits(r.text, V.FRENCH_MARKERS) + V.ACCENT_POINTS * accents + V.ARTICLE_POINTS * articles
+        assert r.en_score == hits(r.text, V.ENGLISH_MARKERS)
+    # A marker's test holds a lowered text; lowering it there did so for every marker.
+    assert "contains(lower(" not in scored._jdf.queryExecution().analyzed().toString().lower()
